@@ -26,8 +26,9 @@ NEGATIVE = "Number must be greater than or equal to 0"
 
 
 def is_datetime_with_offset(c: Column) -> Column:
+    """Shape and a real calendar day; null stays null, so null never counts as wrong."""
     real_day = F.substring(c, 1, 10).try_cast("date").isNotNull()
-    return c.rlike(DATETIME_OFFSET) & real_day
+    return F.when(c.isNotNull(), c.rlike(DATETIME_OFFSET) & real_day)
 
 
 def is_url(c: Column) -> Column:

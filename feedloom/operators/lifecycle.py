@@ -1,9 +1,9 @@
 """Guarded status transitions, one round or a whole ordered command log.
 
 A log replay must run one article's commands in order, yet one article may own a large
-part of the log. A run of commands is a function from the eight statuses to the eight
-statuses, and such functions compose, so the log is cut into short time slices, every
-slice is reduced to its function in parallel, and only these are folded per article:
+part of the log. A run of commands is a function from status to status, and such
+functions compose, so the log is cut into short time slices, every slice is reduced to
+its function in parallel, and only these are folded per article:
 
     commands --(article, second)--> slice function --(article, hour)--> hour function
              --(article)--> start status per hour --> start status per second --> outcomes
@@ -27,6 +27,7 @@ GUARDED = (
     ("reject", "PENDING_REVIEW", "REJECTED"),
 )
 ALREADY_ARCHIVED = "Article is already archived."
+MISSING = len(ARTICLE_STATUSES)
 
 
 def next_status(status: Column, command: Column) -> Column:
@@ -95,20 +96,23 @@ def apply_outcomes(articles: DataFrame, outcomes: DataFrame, as_of: Column) -> D
 
 
 def _status_index(status: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(s) for s in ARTICLE_STATUSES]), status).cast("int") - 1
+    """Position in the closed status set; MISSING for an article that does not exist."""
+    position = F.array_position(F.array(*[F.lit(s) for s in ARTICLE_STATUSES]), status).cast("int") - 1
+    return F.coalesce(position, F.lit(MISSING))
 
 
 def _status_name(index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in ARTICLE_STATUSES]), index + 1)
+    return F.get(F.array(*[F.lit(s) for s in ARTICLE_STATUSES]), index)
 
 
 def _identity() -> Column:
-    return F.array(*[F.lit(i) for i in range(len(ARTICLE_STATUSES))])
+    return F.array(*[F.lit(i) for i in range(MISSING + 1)])
 
 
 def _command_map(command: Column) -> Column:
     """The command as a function: array of result indices, one per start status."""
-    return F.array(*[_status_index(next_status(F.lit(s), command)) for s in ARTICLE_STATUSES])
+    results = [_status_index(next_status(F.lit(s), command)) for s in ARTICLE_STATUSES]
+    return F.array(*results, F.lit(MISSING))
 
 
 def _compose(maps: Column) -> Column:
@@ -158,11 +162,12 @@ def replay(articles: DataFrame, commands: DataFrame) -> DataFrame:
         "command",
         _command_map(F.col("command")).alias("map"),
     )
-    base = articles.select(F.col("id").alias("article_id"), _status_index(F.col("status")).alias("start"))
+    base = articles.select(F.col("id").alias("article_id"), "status")
 
     seconds = _ordered(keyed, ["article_id", "hour", "second"], ["ts", "seq"], ["command"])
     hours = _ordered(seconds, ["article_id", "hour"], ["second"], [])
     whole = _ordered(hours, ["article_id"], ["hour"], []).join(base, "article_id", "left")
+    whole = whole.withColumn("start", _status_index(F.col("status")))
 
     hour_starts = _push_down(whole, ["article_id"], ["hour"])
     at_hour = hours.join(hour_starts, ["article_id", "hour"])
@@ -180,7 +185,7 @@ def replay(articles: DataFrame, commands: DataFrame) -> DataFrame:
         "command",
         "ts",
         "status_before",
-        next_status(status, command).alias("status_after"),
+        F.when(status.isNotNull(), next_status(status, command)).alias("status_after"),
         F.when(status.isNull(), missing).otherwise(refusal(status, command)).alias("error"),
     )
 

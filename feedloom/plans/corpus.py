@@ -119,8 +119,8 @@ VIEWS = {
     "queue": """
         select event_id as message_id,
           case when event_id % 2 = 0
-            then concat(chr(123), '"articleId":"art_', event_id % 1500, '"', chr(125))
-            else concat('art_', event_id % 1500) end as body,
+            then concat(chr(123), '"articleId":"art_', event_id % 11 * 1000 + event_id % 97, '"', chr(125))
+            else concat('art_', event_id % 11 * 1000 + event_id % 97) end as body,
           1 + event_id % 4 as receive_count, ts as sent_at
         from {events}""",
     "bus": """

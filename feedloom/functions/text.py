@@ -12,7 +12,9 @@ WS_CHARS = (
     "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
-WS = f"[{WS_CHARS}]"
+# The same set as a pattern; nesting the rare ranges lets common letters fail at once.
+WS_CLASS = r"\s\u00a0[\u1680-\uffff&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]]"
+WS = f"[{WS_CLASS}]"
 ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
     ("&nbsp;", "\u00a0"), ("&amp;", "&"),
@@ -33,13 +35,21 @@ def collapse_ws(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, f"{WS}+", " "))
 
 
+def _replace_closed(c: Column, pattern: str, end: str) -> Column:
+    """Replace by a space up to the last ``end``. No match can begin after it, and leaving
+    that part out keeps text with many unclosed openings from taking quadratic time."""
+    rest = F.substring_index(c, end, -1)
+    closed = F.left(c, F.length(c) - F.length(rest))
+    return F.concat(F.regexp_replace(closed, pattern, " "), rest)
+
+
 def strip_html(c: Column) -> Column:
     """Tags, then entities, then whitespace runs become one space each; trimmed.
 
     The entity pattern takes everything from a bare ``&`` to the next ``;``.
     """
-    no_tags = F.regexp_replace(c, "<[^>]*>", " ")
-    return collapse_ws(F.regexp_replace(no_tags, "&[^;]+;", " "))
+    no_tags = _replace_closed(c, "<[^>]*>", ">")
+    return collapse_ws(_replace_closed(no_tags, "&[^;]+;", ";"))
 
 
 def word_count(c: Column) -> Column:
@@ -49,7 +59,7 @@ def word_count(c: Column) -> Column:
 def collapsed_word_count(c: Column) -> Column:
     """Words of text whose whitespace is collapsed already."""
     spaces = F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
-    return F.when(c == "", F.lit(0).cast("long")).otherwise((spaces + 1).cast("long"))
+    return ((spaces + 1) * (c != "").cast("int")).cast("long")
 
 
 def reading_minutes(words: Column) -> Column:
@@ -88,8 +98,8 @@ def snippet(c: Column) -> Column:
 
 def slugify(c: Column) -> Column:
     """Lower case, ASCII word characters only, hyphen separated; edge hyphens stay."""
-    kept = F.regexp_replace(F.lower(c), rf"[^A-Za-z0-9_\-{WS_CHARS}]", "")
-    return F.regexp_replace(F.regexp_replace(kept, rf"[_{WS_CHARS}]+", "-"), "-+", "-")
+    kept = F.regexp_replace(F.lower(c), rf"[^A-Za-z0-9_\-{WS_CLASS}]", "")
+    return F.regexp_replace(F.regexp_replace(kept, rf"[_{WS_CLASS}]+", "-"), "-+", "-")
 
 
 def blank_to_null(c: Column) -> Column:

@@ -14,31 +14,39 @@ hour, or the hours of the log.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.operators.skew import lookup_join
 from feedloom.schemas import ARTICLE_STATUSES
 
-# Command, required status, resulting status.
+# Guarded commands (name, required status, resulting status) and free ones.
+FREE = (("archive", "ARCHIVED"), ("submit", "PENDING_REVIEW"))
 GUARDED = (
     ("publish", "APPROVED", "PUBLISHED"),
     ("approve", "PENDING_REVIEW", "APPROVED"),
     ("reject", "PENDING_REVIEW", "REJECTED"),
 )
 ALREADY_ARCHIVED = "Article is already archived."
+COMMANDS = tuple(name for name, *_ in (*FREE, *GUARDED))
 MISSING = len(ARTICLE_STATUSES)
 
+MapOf = Callable[[Column], Column]
+
 
 def next_status(status: Column, command: Column) -> Column:
     """Status after the command; a refused or unknown command changes nothing.
 
     ``submit`` stands for the free status set to PENDING_REVIEW, which has no guard.
     """
-    out = F.when(command == "archive", "ARCHIVED").when(command == "submit", "PENDING_REVIEW")
+    out = status
+    for name, result in FREE:
+        out = F.when(command == name, result).otherwise(out)
     for name, required, result in GUARDED:
-        out = out.when((command == name) & (status == required), result)
-    return out.otherwise(status)
+        out = F.when((command == name) & (status == required), result).otherwise(out)
+    return out
 
 
 def refusal(status: Column, command: Column) -> Column:
@@ -47,8 +55,7 @@ def refusal(status: Column, command: Column) -> Column:
     for name, required, _ in GUARDED:
         text = F.concat(F.lit(f"Cannot {name} article in status "), status, F.lit(f". Must be {required}."))
         out = out.when((command == name) & (status != required), text)
-    known = [name for name, _, _ in GUARDED] + ["archive", "submit"]
-    return out.when(~command.isin(*known), F.concat(F.lit("Unknown command "), command))
+    return out.when(~command.isin(*COMMANDS), F.concat(F.lit("Unknown command "), command))
 
 
 def step(articles: DataFrame, commands: DataFrame, as_of: Column) -> DataFrame:
@@ -109,10 +116,22 @@ def _identity() -> Column:
     return F.array(*[F.lit(i) for i in range(MISSING + 1)])
 
 
-def _command_map(command: Column) -> Column:
-    """The command as a function: array of result indices, one per start status."""
-    results = [_status_index(next_status(F.lit(s), command)) for s in ARTICLE_STATUSES]
-    return F.array(*results, F.lit(MISSING))
+def _command_table() -> Column:
+    """Every command as a function: an array of result indices, one per start status.
+
+    The extra last row changes nothing and stands for unknown commands.
+    """
+    index = {status: i for i, status in enumerate(ARTICLE_STATUSES)}
+    rows = [[index[result]] * MISSING for _, result in FREE]
+    for _, required, result in GUARDED:
+        rows.append([index[result] if s == required else index[s] for s in ARTICLE_STATUSES])
+    rows.append(list(range(MISSING)))
+    return F.array(*[F.array(*[F.lit(i) for i in (*row, MISSING)]) for row in rows])
+
+
+def _command_index(command: Column) -> Column:
+    position = F.array_position(F.array(*[F.lit(c) for c in COMMANDS]), command).cast("int")
+    return F.coalesce(F.when(position > 0, position - 1), F.lit(len(COMMANDS)))
 
 
 def _compose(maps: Column) -> Column:
@@ -133,16 +152,16 @@ def _starts(maps: Column, start: Column) -> Column:
     return run["seen"]
 
 
-def _ordered(df: DataFrame, keys: list[str], order: list[str], carry: list[str]) -> DataFrame:
-    """Group into arrays sorted by ``order``: ``part`` of structs and the composed ``map``."""
-    part = F.array_sort(F.collect_list(F.struct(*order, *carry, "map"))).alias("part")
+def _ordered(df: DataFrame, keys: list[str], fields: list[str], map_of: MapOf) -> DataFrame:
+    """Group into ``part``, the structs of ``fields`` in order, and their composed ``map``."""
+    part = F.array_sort(F.collect_list(F.struct(*fields))).alias("part")
     grouped = df.groupBy(*keys).agg(part)
-    return grouped.withColumn("map", _compose(F.transform("part", lambda p: p["map"])))
+    return grouped.withColumn("map", _compose(F.transform("part", map_of)))
 
 
-def _push_down(grouped: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+def _push_down(grouped: DataFrame, keys: list[str], fields: list[str], map_of: MapOf) -> DataFrame:
     """Rows of ``part`` with their start status, from ``grouped`` that has ``start``."""
-    starts = _starts(F.transform("part", lambda p: p["map"]), F.col("start"))
+    starts = _starts(F.transform("part", map_of), F.col("start"))
     rows = grouped.select(*keys, F.explode(F.arrays_zip("part", starts.alias("at"))).alias("_p"))
     return rows.select(*keys, *[F.col(f"_p.part.{f}").alias(f) for f in fields], F.col("_p.at").alias("start"))
 
@@ -151,8 +170,17 @@ def replay(articles: DataFrame, commands: DataFrame) -> DataFrame:
     """Run the whole log ``commands(seq, article_id, command, ts)`` in ``(ts, seq)`` order.
 
     One row per command with ``status_before``, ``status_after`` and ``error``; commands
-    on unknown articles come out with null statuses and a not-found error.
+    on unknown articles come out with null statuses and a not-found error. Keys are
+    filtered once and the steps down are left joins that always match: filters that joins
+    add on their own would differ per level, and then the log would be read and shuffled
+    once per level instead of once. Commands without article or time are left out.
     """
+    def stored(part: Column) -> Column:
+        return part["map"]
+
+    def of_command(part: Column) -> Column:
+        return F.get(_command_table(), part["code"])
+
     keyed = commands.select(
         "article_id",
         F.date_trunc("hour", "ts").alias("hour"),
@@ -160,20 +188,22 @@ def replay(articles: DataFrame, commands: DataFrame) -> DataFrame:
         "ts",
         "seq",
         "command",
-        _command_map(F.col("command")).alias("map"),
+        _command_index(F.col("command")).alias("code"),
     )
+    by_hour, by_second = ["article_id", "hour"], ["article_id", "hour", "second"]
+    for key in by_second:
+        keyed = keyed.filter(F.col(key).isNotNull())
+    seconds = _ordered(keyed, by_second, ["ts", "seq", "command", "code"], of_command)
+    hours = _ordered(seconds, by_hour, ["second", "map"], stored)
+    whole = _ordered(hours, ["article_id"], ["hour", "map"], stored)
     base = articles.select(F.col("id").alias("article_id"), "status")
+    begun = whole.join(base, "article_id", "left").withColumn("start", _status_index(F.col("status")))
 
-    seconds = _ordered(keyed, ["article_id", "hour", "second"], ["ts", "seq"], ["command"])
-    hours = _ordered(seconds, ["article_id", "hour"], ["second"], [])
-    whole = _ordered(hours, ["article_id"], ["hour"], []).join(base, "article_id", "left")
-    whole = whole.withColumn("start", _status_index(F.col("status")))
-
-    hour_starts = _push_down(whole, ["article_id"], ["hour"])
-    at_hour = hours.join(hour_starts, ["article_id", "hour"])
-    second_starts = _push_down(at_hour, ["article_id", "hour"], ["second"])
-    at_second = seconds.join(second_starts, ["article_id", "hour", "second"])
-    rows = _push_down(at_second, ["article_id"], ["seq", "ts", "command"])
+    hour_starts = _push_down(begun, ["article_id"], ["hour"], stored)
+    at_hour = hours.join(hour_starts, by_hour, "left")
+    second_starts = _push_down(at_hour, by_hour, ["second"], stored)
+    at_second = seconds.join(second_starts, by_second, "left")
+    rows = _push_down(at_second, ["article_id"], ["ts", "seq", "command"], of_command)
 
     before = _status_name(F.col("start"))
     named = rows.withColumn("status_before", before)

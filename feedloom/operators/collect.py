@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.checks import is_url
 from feedloom.functions.text import blank_to_null, is_filled, utf16_length
-from feedloom.operators.skew import dimension_join, hot_keys, lookup_join
+from feedloom.operators.joins import dimension_join, hot_keys, lookup_join
 from feedloom.schemas import FETCHED_FIELDS, FULL_CONTENT_CHARS
 from feedloom.sources.feeds import PARSE_ERROR
 from feedloom.sources.pages import Extractor, extract_pages, latest_per_url

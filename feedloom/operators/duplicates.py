@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import collapse_ws
-from feedloom.operators.skew import HOT_KEY_ROWS, MAX_HOT_KEYS, lookup_join
+from feedloom.operators.joins import HOT_KEY_ROWS, MAX_HOT_KEYS, lookup_join
 
 
 def text_key(c: Column) -> Column:

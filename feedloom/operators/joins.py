@@ -1,10 +1,14 @@
-"""Many-to-one joins that survive hot keys and unchecked dimension sizes.
+"""Joins for hot keys, unchecked dimension sizes and small batches against huge tables.
 
 A source, an article or a URL may own a third of all rows. ``lookup_join`` takes such
 keys out of the shuffle: the hot keys (at most ``MAX_HOT_KEYS``, so always broadcastable)
 are found by a partial aggregation on the key column alone, their rows are spread evenly
 over the shuffle and served by a broadcast of the few matching right rows. All other keys
 take the ordinary shuffle join. The result is the same as that of a plain left join.
+
+``dimension_join``, ``batch_join`` and ``probe_join`` broadcast the side that is expected
+to be small, but only after counting it (reading at most one row more than allowed), and
+fall back to a shuffle join. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from pyspark.sql import functions as F
 HOT_KEY_ROWS = 1_000_000
 MAX_HOT_KEYS = 200
 MAX_BROADCAST_ROWS = 100_000
+MAX_WIDE_BROADCAST_ROWS = 2_000
 
 
 def hot_keys(
@@ -79,3 +84,26 @@ def dimension_join(
         joined = joined.filter(F.col("_dim").isNotNull())
     extra = [F.col(f"_dim.{c}").alias(c) for c in dim.columns if c != key]
     return joined.select(*facts.columns, *extra)
+
+
+def batch_join(
+    table: DataFrame, batch: DataFrame, key: str, how: str = "left", max_rows: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
+    """Join a table to a batch unique per ``key`` without moving the table if the batch is small."""
+    return table.join(F.broadcast(batch) if fits_broadcast(batch, max_rows) else batch, key, how)
+
+
+def probe(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Table rows whose key is listed; ``keys`` is distinct."""
+    return batch_join(table, keys.select(key), key, "left_semi")
+
+
+def probe_join(left: DataFrame, right: DataFrame, key: str, spread_by: Column, hit: str = "hit") -> DataFrame:
+    """``lookup_join`` for a left side with few distinct keys: the right table is only
+    scanned for these, and its matches (one per key at most) are broadcast."""
+    keys = left.select(key).distinct()
+    if not fits_broadcast(keys):
+        return lookup_join(left, right, key, spread_by, hit=hit)
+    found = right.join(F.broadcast(keys), key, "left_semi")
+    record = F.struct(*[F.col(c) for c in right.columns]).alias(hit)
+    return left.join(F.broadcast(found.select(key, record)), key, "left").select(*left.columns, hit)

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.operators.skew import lookup_join
+from feedloom.operators.joins import batch_join, probe_join
 from feedloom.schemas import ARTICLE_STATUSES
 
 # Guarded commands (name, required status, resulting status) and free ones.
@@ -64,7 +64,8 @@ def step(articles: DataFrame, commands: DataFrame, as_of: Column) -> DataFrame:
     ``commands(article_id, command)`` holds each article once; unknown ids give NOT_FOUND.
     """
     current = articles.select(F.col("id").alias("article_id"), "status", "published_at")
-    joined = commands.join(current, "article_id", "left")
+    joined = probe_join(commands, current, "article_id", F.col("article_id"))
+    joined = joined.select(*commands.columns, "hit.status", "hit.published_at")
     status, command = F.col("status"), F.col("command")
     found = status.isNotNull()
     error = F.when(~found, F.format_string("Article with id '%s' not found", "article_id"))
@@ -91,7 +92,7 @@ def apply_outcomes(articles: DataFrame, outcomes: DataFrame, as_of: Column) -> D
         F.col("article_id").alias("id"),
         F.struct("new_status", "published_at").alias("_o"),
     )
-    joined = articles.join(done, "id", "left")
+    joined = batch_join(articles, done, "id")
     hit = F.col("_o").isNotNull()
     new = {
         "status": F.when(hit, F.col("_o.new_status")).otherwise(F.col("status")),
@@ -235,7 +236,7 @@ def final_statuses(articles: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def commands_with_status(articles: DataFrame, commands: DataFrame) -> DataFrame:
-    """Each command with the stored status of its article; hot articles are broadcast."""
+    """Each command with the stored status of its article, however hot the article is."""
     table = articles.select(F.col("id").alias("article_id"), "status")
-    joined = lookup_join(commands, table, "article_id", F.col("seq"))
+    joined = probe_join(commands, table, "article_id", F.col("seq"))
     return joined.select(*commands.columns, F.col("hit.status").alias("status"))

@@ -1,7 +1,7 @@
 """Article queries: filters, ordering, paging, counts and lookups.
 
-Pages are ordered on narrow rows: project away ``original`` and ``ai`` first and join the
-wide record back for the rows of the page.
+Pages are ordered on narrow rows: project away ``original`` and ``ai`` first and get the
+wide records of the page with ``page_details``.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.schemas import DEFAULT_PAGE_LIMIT
+from feedloom.operators.joins import probe_join
+from feedloom.schemas import DEFAULT_PAGE_LIMIT, MAX_PAGE_LIMIT
 
 ORDER_COLUMNS = {"createdAt": "created_at", "publishedAt": "published_at", "title": "slug"}
 
@@ -108,9 +109,18 @@ def count_by(articles: DataFrame, column: str) -> DataFrame:
 
 def find_ids(table: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
     """The wanted ids with their rows; an unknown id keeps a row of nulls (``found`` false)."""
-    hits = table.withColumn("_found", F.lit(True))
-    joined = wanted.select(key).distinct().join(hits, key, "left")
-    return joined.withColumn("found", F.col("_found").isNotNull()).drop("_found")
+    joined = probe_join(wanted.select(key).distinct(), table, key, F.col(key))
+    rest = [F.col(f"hit.{c}").alias(c) for c in table.columns if c != key]
+    return joined.select(key, *rest, F.col("hit").isNotNull().alias("found"))
+
+
+def page_details(page_rows: DataFrame, table: DataFrame, key: str = "id", max_rows: int = MAX_PAGE_LIMIT) -> DataFrame:
+    """Wide rows of one page. Its few keys become a pushed-down filter, so files or row
+    groups without them are skipped, which sorting whole wide rows could never do."""
+    keys = [r[0] for r in page_rows.select(key).limit(max_rows + 1).collect()]
+    if len(keys) > max_rows:
+        raise ValueError(f"a page has at most {max_rows} rows")
+    return table.filter(F.col(key).isin(keys))
 
 
 def find_by_slug(articles: DataFrame, slug: str) -> DataFrame:

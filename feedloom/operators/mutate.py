@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from feedloom import schemas as sc
 from feedloom.functions import ids
 from feedloom.functions.text import slugify
+from feedloom.operators.joins import MAX_WIDE_BROADCAST_ROWS, batch_join, probe
 
 ARTICLE_PATCH_FIELDS = (
     "slug", "category_id", "tags", "language", "author", "cover_image", "status", "published_at",
@@ -94,14 +95,21 @@ def first_per_id(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.groupBy(key).agg(first.alias("_row")).select("_row.*")
 
 
-def insert_if_absent(rows: DataFrame, existing: DataFrame, key: str, *order: str) -> DataFrame:
+def insert_if_absent(
+    rows: DataFrame, existing: DataFrame, key: str, *order: str, small_batch: bool = False
+) -> DataFrame:
     """Rows whose key is neither stored nor taken by an earlier row of the batch.
 
-    ``existing`` is read for its key column only; bucket that table by key
-    (``store.write_bucketed``) and the anti join does not shuffle it.
+    ``existing`` is read for its key column only. For a large batch, bucket that table by
+    key (``store.write_bucketed``) and the anti join does not shuffle it. ``small_batch``
+    counts the new keys first and, if they fit, just scans the stored keys for them; use it
+    on materialised rows.
     """
     fresh = first_per_id(rows, key, *order)
-    return fresh.join(existing.select(key), key, "left_anti")
+    stored = existing.select(key)
+    if small_batch:
+        stored = probe(stored, rows.select(key).distinct(), key)
+    return fresh.join(stored, key, "left_anti")
 
 
 def combine_patches(patches: DataFrame, key: str, order: str, fields: tuple[str, ...]) -> DataFrame:
@@ -124,7 +132,7 @@ def apply_patches(
     """New table state; ``updated_at`` moves for every patched row, unknown keys add nothing."""
     present = [f for f in fields if f in combined.columns]
     patch = combined.select(key, F.struct(*present).alias("_patch"))
-    joined = table.join(patch, key, "left")
+    joined = batch_join(table, patch, key, max_rows=MAX_WIDE_BROADCAST_ROWS)
 
     def value(name: str) -> Column:
         if name == "updated_at":
@@ -161,7 +169,7 @@ def patch_ai(table: DataFrame, patches: DataFrame, as_of: Column, mode: str = "m
     fields = [
         F.when(F.array_contains("_set", n), F.col("_ai")[n]).otherwise(base[n]).alias(n) for n in AI_FIELDS
     ]
-    joined = table.join(patch, "id", "left")
+    joined = batch_join(table, patch, "id", max_rows=MAX_WIDE_BROADCAST_ROWS)
     hit = F.col("_set").isNotNull()
     joined = joined.withColumn("ai", F.when(hit, F.struct(*fields)).otherwise(F.col("ai")))
     joined = joined.withColumn("updated_at", F.when(hit, as_of).otherwise(F.col("updated_at")))
@@ -170,18 +178,19 @@ def patch_ai(table: DataFrame, patches: DataFrame, as_of: Column, mode: str = "m
 
 def missing_keys(batch: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Distinct keys of the batch that the table does not have."""
-    return batch.select(key).distinct().join(table.select(key), key, "left_anti")
+    keys = batch.select(key).distinct()
+    return keys.join(probe(table.select(key), keys, key), key, "left_anti")
 
 
 def delete_rows(table: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """Table without the listed keys; unknown ones are reported by ``missing_keys``."""
-    return table.join(batch.select(key).distinct(), key, "left_anti")
+    return batch_join(table, batch.select(key).distinct(), key, "left_anti")
 
 
 def toggle_sources(sources: DataFrame, batch: DataFrame, as_of: Column) -> DataFrame:
     """Switch ACTIVE to INACTIVE and anything else to ACTIVE, once per listing in the batch."""
     turns = batch.groupBy("source_id").agg((F.count(F.lit(1)) % 2).alias("_odd"))
-    joined = sources.join(turns, "source_id", "left")
+    joined = batch_join(sources, turns, "source_id")
     hit = F.col("_odd").isNotNull()
     active = F.col("status") == "ACTIVE"
     flipped = F.when(F.col("_odd") == 1, ~active).otherwise(active)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import is_filled, utf16_length
-from feedloom.operators.skew import fits_broadcast, lookup_join
+from feedloom.operators.joins import lookup_join
 from feedloom.schemas import FULL_CONTENT_CHARS, KNOWN_ITEM_KEYS
 from feedloom.sources.feeds import RAW_KEYS
 
@@ -71,17 +71,21 @@ def metric_rows(report: DataFrame, key: str, metrics: dict[str, Column]) -> Data
     return report.select(key, F.explode(F.create_map(*pairs)).alias("metric", "value"))
 
 
+def report_columns(names: DataFrame) -> list[str]:
+    """The sorted values of a one-column table, if they are few enough to be columns."""
+    rows = names.distinct().limit(MAX_REPORT_COLUMNS + 1).collect()
+    if len(rows) > MAX_REPORT_COLUMNS:
+        raise ValueError(f"more than {MAX_REPORT_COLUMNS} report columns; use the long form")
+    return sorted(row[0] for row in rows)
+
+
 def side_by_side(long: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:
     """Metrics as rows, sources as columns.
 
     Only for a readable number of sources: beyond ``MAX_REPORT_COLUMNS`` this refuses and
-    the long form is the report.
+    the long form is the report. Pass ``columns`` to spare a pass over the report.
     """
-    if columns is None:
-        names = long.select(key).distinct()
-        if not fits_broadcast(names, MAX_REPORT_COLUMNS):
-            raise ValueError(f"more than {MAX_REPORT_COLUMNS} report columns; use the long form")
-        columns = sorted(row[0] for row in names.collect())
+    columns = report_columns(long.select(key)) if columns is None else columns
     return long.groupBy("metric").pivot(key, columns).agg(F.first("value"))
 
 

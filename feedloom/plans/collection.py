@@ -36,6 +36,8 @@ def settle(
     rejected = va.rejected_rows(checked)
     rows = mu.article_rows(va.valid_rows(checked), as_of)
     created = mu.insert_if_absent(rows, stored, "id", "pos", "item_id")
+    # The counters need ids only; counting ``created`` would shuffle whole articles.
+    new_ids = rows.select("id").distinct().join(stored.select("id"), "id", "left_anti")
     errors = co.item_errors(rejected)
     if source_errors is not None:
         errors = source_errors.unionByName(errors)
@@ -46,7 +48,7 @@ def settle(
         created=created,
         messages=article_messages(created),
         errors=errors,
-        summary=co.collect_summary(sources, errors, created),
+        summary=co.collect_summary(sources, errors, new_ids),
     )
 
 

@@ -245,6 +245,9 @@ _add("articles_by_source", "articles", f"select {_CARD} from articles where sour
 _add("list_articles", "articles", f"""select * from (select {_CARD}, count(*) over () as total,
   20::bigint as "limit", 0::bigint as "offset" from articles where category_id = 'cat_2'
 order by articles.created_at desc, id limit 20)""")
+_add("article_details", "articles items", """select a.id, i.title, i.url, md5(i.content) as content_md5
+from (select id from articles where status = 'PENDING_REVIEW' order by created_at desc, id limit 20) a
+join items i on concat('art_', i.item_id) = a.id""")
 _add("list_articles_by_title", "articles", f"""select * from (select {_CARD} from articles
 where list_contains(articles.tags, 'tag_2') order by slug, id limit 50 offset 10)""")
 _add("list_articles_by_publication", "articles", f"""select * from (select {_CARD} from articles

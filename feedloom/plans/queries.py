@@ -275,6 +275,13 @@ def list_articles(c: Corpus) -> DataFrame:
     return _shown(ls.article_page(_card(c.articles), category_id="cat_2"), "total", "limit", "offset")
 
 
+@query
+def article_details(c: Corpus) -> DataFrame:
+    page = ls.list_articles(_card(c.articles), status="PENDING_REVIEW")
+    wide = c.items.withColumn("id", F.concat(F.lit("art_"), "item_id"))
+    return ls.page_details(page, wide).select("id", "title", "url", F.md5("content").alias("content_md5"))
+
+
 @query
 def list_articles_by_title(c: Corpus) -> DataFrame:
     page = ls.list_articles(_card(c.articles), tag="tag_2", order_field="title", direction="ASC", limit=50, offset=10)
@@ -425,9 +432,15 @@ def field_coverage(c: Corpus) -> DataFrame:
     return rp.flag_rows(rp.field_coverage(c.items), fields)
 
 
+def _report_columns(c: Corpus) -> list[str]:
+    """Names of the compared sources, from the small source table."""
+    return rp.report_columns(c.sources.select("source_id"))
+
+
 @query
 def coverage_report(c: Corpus) -> DataFrame:
-    return rp.side_by_side(rp.coverage_metrics(rp.field_coverage(c.items), rp.source_quality(c.items)), "source_id")
+    long = rp.coverage_metrics(rp.field_coverage(c.items), rp.source_quality(c.items))
+    return rp.side_by_side(long, "source_id", _report_columns(c))
 
 
 def _expected(c: Corpus) -> DataFrame:
@@ -446,8 +459,8 @@ def pipeline_report(c: Corpus) -> DataFrame:
 
 @query
 def pipeline_side_by_side(c: Corpus) -> DataFrame:
-    names = sorted(r[0] for r in c.sources.select("source_id").limit(rp.MAX_REPORT_COLUMNS).collect())
-    return rp.side_by_side(rp.pipeline_metrics(rp.pipeline_report(_merged(c), _expected(c))), "source_id", names)
+    long = rp.pipeline_metrics(rp.pipeline_report(_merged(c), _expected(c)))
+    return rp.side_by_side(long, "source_id", _report_columns(c))
 
 
 @query

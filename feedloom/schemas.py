@@ -20,6 +20,7 @@ DEFAULT_LANGUAGE = "en"
 DEFAULT_PRIORITY = 10
 DEFAULT_FETCH_INTERVAL = 60
 DEFAULT_PAGE_LIMIT = 20
+MAX_PAGE_LIMIT = 100
 MAX_RECEIVES = 3
 QUEUE_RETENTION_HOURS = 24
 DEAD_LETTER_RETENTION_DAYS = 7

@@ -40,13 +40,13 @@ def write_snapshot(df: DataFrame, root: str, version: int, partition_by: str | N
     """Write a whole table state as ``root/v=<version>``; an existing version is an error.
 
     Partition by ``status`` or ``source_id`` so that scans by these prune whole folders.
+    Rebalancing gathers each value into few files and splits a value that is too large.
     """
     path = f"{root}/v={version}"
-    writer = df.write.mode("error")
     if partition_by:
-        # One task per value would hold a hot value in one file; spread each over all tasks.
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+        df.hint("rebalance", partition_by).write.mode("error").partitionBy(partition_by).parquet(path)
+    else:
+        df.write.mode("error").parquet(path)
     return path
 
 

@@ -29,10 +29,11 @@ def run_collection(
     nothing. Without ``scheduled`` the stream stops when it has read what is there.
     """
     def process(batch: DataFrame, epoch: int) -> None:
-        rows = collect(batch)
+        rows = collect(batch).persist()
         stored = read_batches(batch.sparkSession, out, rows.select("id").schema, before=epoch)
         order = [c for c in ("pos", "item_id") if c in rows.columns] or ["id"]
-        path = append_batch(insert_if_absent(rows, stored, "id", *order), out, epoch)
+        path = append_batch(insert_if_absent(rows, stored, "id", *order, small_batch=True), out, epoch)
+        rows.unpersist()
         if queue_path:
             written = batch.sparkSession.read.parquet(path)
             append_batch(article_messages(written), queue_path, epoch)

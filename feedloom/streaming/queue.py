@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from feedloom.operators.skew import lookup_join
+from feedloom.operators.joins import probe_join
 from feedloom.schemas import DEAD_LETTER_RETENTION_DAYS, MAX_RECEIVES, QUEUE_RETENTION_HOURS
 from feedloom.sources.queues import read_messages
 from feedloom.sources.store import append_batch
@@ -19,10 +19,10 @@ def route_messages(queue: DataFrame, articles: DataFrame, as_of: Column) -> Data
 
     EXPIRED past the retention; DEAD_LETTER when received too often, or failing on the
     last receive; RETRY when it fails earlier; else PROCESSED. Failing means that the
-    article does not exist. A hot article is served by broadcast, so its messages spread.
+    article does not exist. A batch naming few articles only scans the article table.
     """
     table = articles.select(F.col("id").alias("article_id"), F.col("status").alias("article_status"))
-    joined = lookup_join(read_messages(queue), table, "article_id", F.col("message_id"))
+    joined = probe_join(read_messages(queue), table, "article_id", F.col("message_id"))
     failed, received = F.col("hit").isNull(), F.col("receive_count")
     outcome = (
         F.when(F.col("sent_at") < as_of - F.expr(f"interval {QUEUE_RETENTION_HOURS} hours"), "EXPIRED")

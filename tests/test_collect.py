@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from feedloom.operators import collect as co
 from feedloom.operators import mutate as mu
-from feedloom.operators import skew
+from feedloom.operators import joins
 from feedloom.operators import validate as va
 from feedloom.plans.collection import collect_feeds, settle
 
@@ -105,19 +105,19 @@ def test_lookup_join_with_hot_keys_equals_a_plain_left_join(spark):
     right = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 20, 2)], "key string, v long")
     plain = left.join(right, "key", "left").select("id", "key", "v")
     for min_rows in (1, 40, 100, 10_000):
-        hot = skew.hot_keys(left, "key", min_rows=min_rows, max_keys=3)
-        joined = skew.lookup_join(left, right, "key", F.col("id"), hot)
+        hot = joins.hot_keys(left, "key", min_rows=min_rows, max_keys=3)
+        joined = joins.lookup_join(left, right, "key", F.col("id"), hot)
         assert joined.count() == 500
         assert not joined.select("id", "key", "hit.v").exceptAll(plain).count()
-    assert [r.key for r in skew.hot_keys(left, "key", min_rows=100).collect()] == ["hot"]
+    assert [r.key for r in joins.hot_keys(left, "key", min_rows=100).collect()] == ["hot"]
 
 
 def test_dimension_join_beyond_the_broadcast_size(spark, monkeypatch):
     facts = spark.createDataFrame([(1, "a"), (2, "b"), (3, "z")], "item_id long, key string")
     dim = spark.createDataFrame([("a", "A"), ("b", "B")], "key string, name string")
-    small = skew.dimension_join(facts, dim, "key", F.col("item_id"))
-    monkeypatch.setattr(skew, "fits_broadcast", lambda df: False)
-    large = skew.dimension_join(facts, dim, "key", F.col("item_id"))
+    small = joins.dimension_join(facts, dim, "key", F.col("item_id"))
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
+    large = joins.dimension_join(facts, dim, "key", F.col("item_id"))
     expected = [("a", 1, "A"), ("b", 2, "B")]
     for out in (small, large):
         assert sorted(out.select("key", "item_id", "name").collect()) == expected

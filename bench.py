@@ -18,7 +18,7 @@ from feedloom.session import configure  # noqa: E402
 HEADLINE = (
     "feed_items", "item_keys", "fetch_strategy", "page_extract", "merge_articles", "rejected_items", "new_articles",
     "collect_summary", "list_articles", "status_totals", "first_by_slug", "lookup_ids", "patch_articles",
-    "delete_articles", "lifecycle_step", "lifecycle_replay", "source_quality", "coverage_report", "pipeline_report",
+    "delete_articles", "lifecycle_step", "lifecycle_replay", "source_quality", "coverage_report", "collection_report",
     "fetch_report", "queue_process", "approved_events", "url_refetch_24h", "duplicate_texts", "tag_counts",
 )
 

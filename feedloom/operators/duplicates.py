@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import collapse_ws
-from feedloom.operators.joins import HOT_KEY_ROWS, MAX_HOT_KEYS, lookup_join
+from feedloom.operators.joins import HOT_KEY_ROWS, MAX_HOT_KEYS, dimension_join, lookup_join
 
 
 def text_key(c: Column) -> Column:
@@ -70,5 +70,5 @@ def article_categories(articles: DataFrame, categories: DataFrame) -> DataFrame:
     names = active_categories(categories).select(
         F.col("id").alias("category_id"), F.col("name").alias("category_name")
     )
-    joined = lookup_join(articles, names, "category_id", F.col("id"))
-    return joined.select(*articles.columns, F.col("hit.category_name").alias("category_name"))
+    joined = dimension_join(articles, names, "category_id", F.col("id"), how="left")
+    return joined.select(*articles.columns, "category_name")

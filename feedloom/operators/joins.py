@@ -98,11 +98,14 @@ def probe(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return batch_join(table, keys.select(key), key, "left_semi")
 
 
-def probe_join(left: DataFrame, right: DataFrame, key: str, spread_by: Column, hit: str = "hit") -> DataFrame:
+def probe_join(
+    left: DataFrame, right: DataFrame, key: str, spread_by: Column, hit: str = "hit",
+    max_rows: int = MAX_BROADCAST_ROWS,
+) -> DataFrame:
     """``lookup_join`` for a left side with few distinct keys: the right table is only
     scanned for these, and its matches (one per key at most) are broadcast."""
     keys = left.select(key).distinct()
-    if not fits_broadcast(keys):
+    if not fits_broadcast(keys, max_rows):
         return lookup_join(left, right, key, spread_by, hit=hit)
     found = right.join(F.broadcast(keys), key, "left_semi")
     record = F.struct(*[F.col(c) for c in right.columns]).alias(hit)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.operators.joins import probe_join
+from feedloom.operators.joins import MAX_WIDE_BROADCAST_ROWS, probe_join
 from feedloom.schemas import DEFAULT_PAGE_LIMIT, MAX_PAGE_LIMIT
 
 ORDER_COLUMNS = {"createdAt": "created_at", "publishedAt": "published_at", "title": "slug"}
@@ -109,7 +109,8 @@ def count_by(articles: DataFrame, column: str) -> DataFrame:
 
 def find_ids(table: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
     """The wanted ids with their rows; an unknown id keeps a row of nulls (``found`` false)."""
-    joined = probe_join(wanted.select(key).distinct(), table, key, F.col(key))
+    ids = wanted.select(key).distinct()
+    joined = probe_join(ids, table, key, F.col(key), max_rows=MAX_WIDE_BROADCAST_ROWS)
     rest = [F.col(f"hit.{c}").alias(c) for c in table.columns if c != key]
     return joined.select(key, *rest, F.col("hit").isNotNull().alias("found"))
 

@@ -103,7 +103,7 @@ def coverage_metrics(coverage: DataFrame, quality: DataFrame) -> DataFrame:
     return metric_rows(joined, "source_id", metrics)
 
 
-def pipeline_report(merged: DataFrame, expected: DataFrame) -> DataFrame:
+def collection_report(merged: DataFrame, expected: DataFrame) -> DataFrame:
     """First merged item per source against the expected strategy and fetch flag.
 
     A source expected but without items shows N/A and matches nothing.
@@ -137,8 +137,8 @@ def pipeline_report(merged: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
-def pipeline_metrics(report: DataFrame) -> DataFrame:
-    """The pipeline report in long form."""
+def collection_metrics(report: DataFrame) -> DataFrame:
+    """The collection report in long form."""
     empty = F.lit("(empty)")
     return metric_rows(report, "source_id", {
         "strategy": F.col("strategy"),

@@ -12,12 +12,13 @@ from feedloom.operators import mutate as mu
 from feedloom.operators import validate as va
 from feedloom.sources import feeds as fd
 from feedloom.sources.queues import article_messages
+from feedloom.sources.store import stage
 
 
 @dataclass(frozen=True)
 class Collection:
-    """Lazy outputs of one run; ``merged`` feeds all of them, so persist or write it if
-    more than one is needed."""
+    """Lazy outputs of one run. All derive from ``merged``: pass ``settle`` a written or
+    persisted frame if several of them are used, as ``collect_feeds`` does."""
 
     merged: DataFrame
     log: DataFrame
@@ -61,7 +62,11 @@ def feed_items(parsed: DataFrame) -> DataFrame:
 def collect_feeds(
     feeds: DataFrame, sources: DataFrame, pages: DataFrame, stored: DataFrame, as_of: Column, **plug_ins
 ) -> Collection:
-    """From feed documents to created articles, rejects, errors and counters."""
-    parsed = fd.parse_feeds(feeds)
-    merged = co.merge_articles(feed_items(parsed), sources, pages, **plug_ins)
+    """From feed documents to created articles, rejects, errors and counters.
+
+    Parsed feeds and merged items are written to the shared folder, so that each document
+    is parsed once and each item merged once, however many outputs are used.
+    """
+    parsed = stage(fd.parse_feeds(feeds), "parsed-feeds")
+    merged = stage(co.merge_articles(feed_items(parsed), sources, pages, **plug_ins), "merged-items")
     return settle(merged, sources, stored, as_of, co.source_errors(sources, parsed))

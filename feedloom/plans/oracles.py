@@ -423,7 +423,7 @@ _add("coverage_report", "items", _side_by_side(_metrics(
     "(coverage join quality using (source_id))",
     {f: _yes(f) for f in _FIELDS} | {"full_content": _yes("avg_length > 1000"), "item_count": "item_count"},
 )), _COVERAGE, _QUALITY)
-_PIPELINE = """report as (
+_REPORT = """report as (
   select s.source_id, coalesce(m.strategy, 'N/A') as strategy,
     coalesce(m.strategy = 'RSS_PLUS_HTML_FETCH', false) as html_fetch,
     coalesce(m.rss_length, 0) as rss_length, coalesce(m.fetched_length, 0) as fetched_length,
@@ -436,16 +436,16 @@ _PIPELINE = """report as (
   from sources s left join (
     select * from merged qualify row_number() over (partition by source_id order by pos) = 1) m
   on m.source_id = s.source_id)"""
-_add("pipeline_report", "items sources", "select * from report", *_CHAIN, _PIPELINE)
-_add("pipeline_side_by_side", "items sources", _side_by_side(_metrics("report", {
+_add("collection_report", "items sources", "select * from report", *_CHAIN, _REPORT)
+_add("collection_side_by_side", "items sources", _side_by_side(_metrics("report", {
     "strategy": "strategy", "html_fetch": _yes("html_fetch"), "rss_length": "rss_length",
     "fetched_length": "fetched_length", "final_length": "final_length",
     "author": "case when author = '' then '(empty)' else author end", "author_source": "author_source",
     "hero_image": _yes("has_image"), "image_source": "image_source", "strategy_match": _yes("strategy_match"),
     "fetch_match": _yes("fetch_match"),
-})), *_CHAIN, _PIPELINE)
-_add("pipeline_verdict", "items sources", """select bool_and(strategy_match) as all_strategy_match,
-  bool_and(fetch_match) as all_fetch_match from report""", *_CHAIN, _PIPELINE)
+})), *_CHAIN, _REPORT)
+_add("collection_verdict", "items sources", """select bool_and(strategy_match) as all_strategy_match,
+  bool_and(fetch_match) as all_fetch_match from report""", *_CHAIN, _REPORT)
 _FETCHES = """fetches as (
   select i.item_id, f.url is not null as success, coalesce(f.word_count, 0) as word_count,
     coalesce(f.reading_time_minutes, 0) as reading_time_minutes,

@@ -453,19 +453,19 @@ def _expected(c: Corpus) -> DataFrame:
 
 
 @query
-def pipeline_report(c: Corpus) -> DataFrame:
-    return rp.pipeline_report(_merged(c), _expected(c))
+def collection_report(c: Corpus) -> DataFrame:
+    return rp.collection_report(_merged(c), _expected(c))
 
 
 @query
-def pipeline_side_by_side(c: Corpus) -> DataFrame:
-    long = rp.pipeline_metrics(rp.pipeline_report(_merged(c), _expected(c)))
+def collection_side_by_side(c: Corpus) -> DataFrame:
+    long = rp.collection_metrics(rp.collection_report(_merged(c), _expected(c)))
     return rp.side_by_side(long, "source_id", _report_columns(c))
 
 
 @query
-def pipeline_verdict(c: Corpus) -> DataFrame:
-    return rp.all_match(rp.pipeline_report(_merged(c), _expected(c)))
+def collection_verdict(c: Corpus) -> DataFrame:
+    return rp.all_match(rp.collection_report(_merged(c), _expected(c)))
 
 
 def _fetches(c: Corpus) -> DataFrame:

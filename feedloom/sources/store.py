@@ -21,11 +21,13 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder as named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting, such as a test, gets a temporary folder.
+    Only a local session without that setting, such as a test, gets a temporary folder.
     """
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all machines share")
     local = Path(tempfile.mkdtemp(prefix="feedloom-")).as_uri()
     spark.conf.set(CHECKPOINT_SETTING, local)
     return local
@@ -36,6 +38,17 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame once to the shared folder and read it from there.
+
+    For results that several later jobs use: they are not computed again, not even after
+    the loss of an executor, and each job reads only the columns it needs.
+    """
+    path = run_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_snapshot(df: DataFrame, root: str, version: int, partition_by: str | None = None) -> str:
     """Write a whole table state as ``root/v=<version>``; an existing version is an error.
 

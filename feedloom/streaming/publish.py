@@ -25,7 +25,9 @@ def run_publish(
     """Drain an event stream into publish outcomes below ``out``, one batch per epoch."""
     def process(batch: DataFrame, epoch: int) -> None:
         now = F.current_timestamp() if as_of is None else as_of
+        batch.persist()
         append_batch(publish_approved(batch, articles(), now), out, epoch)
+        batch.unpersist()
 
     writer = events.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

@@ -67,7 +67,9 @@ def run_queue(
     """
     def process(batch: DataFrame, epoch: int) -> None:
         now = F.current_timestamp() if as_of is None else as_of
+        batch.persist()
         path = append_batch(route_messages(batch, articles(), now), out, epoch)
+        batch.unpersist()
         if retry_to:
             written = batch.sparkSession.read.parquet(path)
             append_batch(retry_messages(written), retry_to, epoch)

@@ -29,17 +29,17 @@ def test_too_many_columns_are_refused(spark, monkeypatch):
         rp.side_by_side(long, "source_id")
 
 
-def test_pipeline_report_without_items(spark):
+def test_collection_report_without_items(spark):
     merged = spark.createDataFrame([], "source_id string, pos long, item_id long, strategy string, needs_page boolean, rss_length long, "
                                        "fetched_length long, author string, author_source string, cover_image string, image_source string, "
                                        "original struct<content:string,summary:string>")
     expected = spark.createDataFrame([("s", "RSS_ONLY", False)], "source_id string, expected_strategy string, expected_fetch boolean")
-    report = rp.pipeline_report(merged, expected)
+    report = rp.collection_report(merged, expected)
     row = report.first()
     assert (row.strategy, row.author_source, row.rss_length, row.strategy_match, row.fetch_match) == ("N/A", "N/A", 0, False, False)
     assert rp.all_match(report).first() == (False, False)
     assert rp.all_match(report.filter("false")).first() == (True, True)
-    metrics = dict(rp.pipeline_metrics(report).select("metric", "value").collect())
+    metrics = dict(rp.collection_metrics(report).select("metric", "value").collect())
     assert metrics["author"] == "(empty)" and metrics["hero_image"] == "NO"
 
 

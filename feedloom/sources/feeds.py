@@ -1,4 +1,4 @@
-"""Feed scan: RSS documents in a table become normalised item rows.
+"""Feed scan: RSS and Atom documents in a table become normalised item rows.
 
 Input is ``feeds(source_id, feed_xml, …)``, one row per downloaded document. Parsing is
 ``from_xml`` inside the scan stage, so no shuffle happens until an operator needs one.
@@ -12,21 +12,27 @@ from pyspark.sql import functions as F
 from feedloom.functions.dates import to_iso
 from feedloom.functions.text import blank_to_null, snippet
 
-# The RSS 2.0 elements read, with the usual namespace prefixes.
-FEED_SCHEMA = """
-channel struct<
-  title string,
-  item array<struct<
-    title string, link string, guid string, pubDate string, author string,
-    `dc:creator` string, description string, `content:encoded` string, comments string,
-    category array<string>,
-    enclosure struct<_url string, _type string, _length string>,
-    `media:content` array<struct<
-      _url string, _width string, _height string, _type string, _medium string>>,
-    `media:thumbnail` array<struct<_url string, _width string, _height string>>,
-    `media:group` string
-  >>
->
+# The elements read of RSS 2.0, RSS 1.0 and Atom, with their usual prefixes.
+_MEDIA = """
+  `media:content`: array<struct<
+    _url: string, _width: string, _height: string, _type: string, _medium: string>>,
+  `media:thumbnail`: array<struct<_url: string, _width: string, _height: string>>,
+  `media:group`: string
+"""
+_ITEM = f"""struct<
+  title: string, link: string, guid: string, pubDate: string, `dc:date`: string, author: string,
+  `dc:creator`: string, description: string, `content:encoded`: string, comments: string,
+  category: array<string>, enclosure: struct<_url: string, _type: string, _length: string>, {_MEDIA}
+>"""
+_ENTRY = f"""struct<
+  title: string, link: array<struct<_href: string, _rel: string>>, id: string,
+  published: string, updated: string, author: array<struct<name: string>>, content: string,
+  category: array<struct<_term: string>>, {_MEDIA}
+>"""
+FEED_SCHEMA = f"""
+  channel struct<title: string, item: array<{_ITEM}>>,
+  item array<{_ITEM}>,
+  id string, title string, entry array<{_ENTRY}>
 """
 _XML_OPTIONS = {"ignoreSurroundingSpaces": "false", "attributePrefix": "_"}
 UNKNOWN_FEED = "Unknown Feed"
@@ -44,20 +50,46 @@ def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
     return texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("feed_xml"))
 
 
+def _entry_item(entry: Column) -> Column:
+    """An Atom entry in the shape of an RSS item."""
+    main = F.filter(entry["link"], lambda link: link["_rel"] == "alternate")
+    link = F.coalesce(F.get(main, F.lit(0)), F.get(entry["link"], F.lit(0)))["_href"]
+    none = F.lit(None).cast("string")
+    return F.struct(
+        entry["title"].alias("title"),
+        link.alias("link"),
+        entry["id"].alias("guid"),
+        F.coalesce(entry["published"], entry["updated"]).alias("pubDate"),
+        none.alias("dc:date"),
+        F.get(entry["author"], F.lit(0))["name"].alias("author"),
+        none.alias("dc:creator"),
+        entry["content"].alias("description"),
+        none.alias("content:encoded"),
+        none.alias("comments"),
+        F.transform(entry["category"], lambda c: c["_term"]).alias("category"),
+        F.lit(None).cast("struct<_url: string, _type: string, _length: string>").alias("enclosure"),
+        entry["media:content"].alias("media:content"),
+        entry["media:thumbnail"].alias("media:thumbnail"),
+        entry["media:group"].alias("media:group"),
+    )
+
+
 def parse_feeds(feeds: DataFrame) -> DataFrame:
     """Replace ``feed_xml`` by ``feed_ok``, ``feed_title`` and the ``raw_items`` array.
 
-    A document without a readable channel is kept with ``feed_ok = false``: that is the
+    A document that is neither RSS nor Atom is kept with ``feed_ok = false``: that is the
     source failure of a collection run.
     """
     others = [c for c in feeds.columns if c != "feed_xml"]
     parsed = feeds.select(*others, F.from_xml("feed_xml", FEED_SCHEMA, _XML_OPTIONS).alias("_feed"))
-    channel = F.col("_feed.channel")
+    feed = F.col("_feed")
+    entries = F.transform(feed["entry"], _entry_item).cast(f"array<{_ITEM}>")
+    known = feed["channel"].isNotNull() | feed["entry"].isNotNull() | feed["id"].isNotNull()
     return parsed.select(
         *others,
-        channel.isNotNull().alias("feed_ok"),
-        F.coalesce(channel["title"], F.lit(UNKNOWN_FEED)).alias("feed_title"),
-        channel["item"].alias("raw_items"),
+        F.coalesce(known, F.lit(False)).alias("feed_ok"),
+        F.coalesce(feed["channel"]["title"], feed["title"], F.lit(UNKNOWN_FEED)).alias("feed_title"),
+        F.coalesce(feed["channel"]["item"], feed["item"], entries).alias("raw_items"),
     )
 
 
@@ -82,7 +114,7 @@ def raw_item(item: Column) -> Column:
         "content": body,
         "link": item["link"],
         "pubDate": date,
-        "isoDate": to_iso(date),
+        "isoDate": to_iso(F.coalesce(date, blank_to_null(item["dc:date"]))),
         "creator": item["dc:creator"],
         "author": item["author"],
         "dc:creator": item["dc:creator"],

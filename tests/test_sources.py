@@ -56,6 +56,31 @@ def test_malformed_empty_and_untitled_feeds(spark):
     assert fd.explode_items(parsed).count() == 0
 
 
+def test_atom_and_rss1_feeds(spark):
+    atom = ('<feed xmlns="http://www.w3.org/2005/Atom"><title type="html">Atom &amp; co</title><id>f</id>'
+            '<entry><title type="text">One</title><link rel="self" href="no"/><link rel="alternate" href="https://a/1"/>'
+            '<id>e1</id><updated>2026-07-16T06:00:00+07:00</updated><author><name>Ann</name></author>'
+            '<content type="html">&lt;p&gt;Body&lt;/p&gt;</content><category term="x"/></entry>'
+            '<entry><title>Two</title><link href="https://a/2"/><published>2026-07-01</published>'
+            "<summary>short</summary></entry></feed>")
+    rdf = ('<rdf:RDF xmlns:rdf="r" xmlns:dc="d"><channel><title>Rdf</title></channel><item><title>Three</title>'
+           "<link>https://a/3</link><dc:date>2026-07-02T00:00:00Z</dc:date><dc:creator>Bob</dc:creator></item></rdf:RDF>")
+    empty = '<feed xmlns="http://www.w3.org/2005/Atom"><id>f</id></feed>'
+    one, two, three = items(spark, atom, rdf, empty, "<html><body/></html>")
+    assert (one.feed_title, one.title, one.url, one.author, one.published_at, one.content, one.summary) == (
+        "Atom & co", "One", "https://a/1", "Ann", "2026-07-15T23:00:00.000Z", "<p>Body</p>", "Body")
+    assert (two.url, two.published_at, two.summary, two.content) == ("https://a/2", "2026-07-01T00:00:00.000Z", "", "")
+    assert (three.feed_title, three.author, three.published_at) == ("Rdf", "Bob", "2026-07-02T00:00:00.000Z")
+    ok = {r.source_id: r.feed_ok for r in fd.parse_feeds(feed(spark, empty, "<html><body/></html>")).collect()}
+    assert ok == {"s0": True, "s1": False}
+
+
+def test_attributes_do_not_hide_text(spark):
+    body = HEAD + '<item><guid isPermaLink="false">g1</guid><category domain="d">c1</category></item>' + TAIL
+    raw = fd.explode_items(fd.parse_feeds(feed(spark, body))).first().raw
+    assert (raw.guid, raw.categories) == ("g1", ["c1"])
+
+
 def test_feed_files(spark, tmp_path):
     (tmp_path / "a.xml").write_text(HEAD + "<item><title>one</title></item>" + TAIL)
     (tmp_path / "b.xml").write_text("broken")

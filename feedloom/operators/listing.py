@@ -78,8 +78,19 @@ def list_articles(
     return page(rows, order_by(order_field, direction), limit, offset)
 
 
-def count_articles(articles: DataFrame, **filters) -> DataFrame:
-    return filter_articles(articles, **filters).agg(F.count(F.lit(1)).alias("total"))
+def count_articles(
+    articles: DataFrame,
+    status: str | None = None,
+    source_id: str | None = None,
+    category_id: str | None = None,
+    tag: str | None = None,
+    compat: bool = False,
+) -> DataFrame:
+    """Number of matching articles; in ``compat`` mode category and tag do not count."""
+    if compat:
+        category_id = tag = None
+    rows = filter_articles(articles, status, source_id, category_id, tag, compat)
+    return rows.agg(F.count(F.lit(1)).alias("total"))
 
 
 def article_page(articles: DataFrame, *, limit: int = DEFAULT_PAGE_LIMIT, offset: int = 0, **options) -> DataFrame:

@@ -71,11 +71,13 @@ def metric_rows(report: DataFrame, key: str, metrics: dict[str, Column]) -> Data
     return report.select(key, F.explode(F.create_map(*pairs)).alias("metric", "value"))
 
 
-def report_columns(names: DataFrame) -> list[str]:
+def report_columns(names: DataFrame, at_least: int = 1) -> list[str]:
     """The sorted values of a one-column table, if they are few enough to be columns."""
     rows = names.distinct().limit(MAX_REPORT_COLUMNS + 1).collect()
     if len(rows) > MAX_REPORT_COLUMNS:
         raise ValueError(f"more than {MAX_REPORT_COLUMNS} report columns; use the long form")
+    if len(rows) < at_least:
+        raise ValueError(f"a comparison needs at least {at_least} sources")
     return sorted(row[0] for row in rows)
 
 

@@ -32,9 +32,9 @@ VIEWS = {
     "items": """
         select d.doc_id as item_id, concat('src_', cast(substr(d.source, 4) as int)) as source_id,
           d.doc_id as pos,
-          case when d.doc_id % 41 = 40 then '' else trim(replace(split_part(d.text, '.', 1), chr(10), ' ')) end
+          case when d.doc_id % 41 = 40 then '' else trim(replace(regexp_extract(d.text, '^[^.]*', 0), chr(10), ' ')) end
             as title,
-          case when d.doc_id % 4 = 0 then '' else trim(split_part(d.text, chr(10), 1)) end as summary,
+          case when d.doc_id % 4 = 0 then '' else trim(regexp_extract(d.text, '^[^\n]*', 0)) end as summary,
           d.text as content,
           case when d.doc_id % 53 = 52 then 'not a url'
             else coalesce(p.url, concat('https://item.example.org/', d.doc_id)) end as url,

@@ -434,7 +434,7 @@ def field_coverage(c: Corpus) -> DataFrame:
 
 def _report_columns(c: Corpus) -> list[str]:
     """Names of the compared sources, from the small source table."""
-    return rp.report_columns(c.sources.select("source_id"))
+    return rp.report_columns(c.sources.select("source_id"), at_least=2)
 
 
 @query

@@ -27,6 +27,8 @@ def test_too_many_columns_are_refused(spark, monkeypatch):
     long = spark.createDataFrame([("a", "m", "1"), ("b", "m", "2")], "source_id string, metric string, value string")
     with pytest.raises(ValueError):
         rp.side_by_side(long, "source_id")
+    with pytest.raises(ValueError):
+        rp.report_columns(long.filter("source_id = 'a'").select("source_id"), at_least=2)
 
 
 def test_collection_report_without_items(spark):

@@ -41,6 +41,20 @@ def test_new_source_defaults(spark):
                           now()).schema.simpleString() == sc.SOURCE.simpleString()
 
 
+def test_public_columns(spark, article):
+    stored = article.withColumns({"PK": F.lit("x"), "EntityType": F.lit("ARTICLE")})
+    assert mu.read_articles(stored).columns == list(sc.ARTICLE.names)
+    source = spark.createDataFrame([("s", None, "x"), ("t", "RSS_ONLY", "x")], "source_id string, fetch_strategy string, SK string")
+    assert sorted(mu.read_sources(source).collect()) == [("s", "AUTO"), ("t", "RSS_ONLY")]
+
+
+def test_insert_if_absent_by_probing(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2)], "id string, pos int")
+    stored = spark.createDataFrame([("b",), ("c",)], "id string")
+    for small in (True, False):
+        assert mu.insert_if_absent(rows, stored, "id", "pos", small_batch=small).collect() == [("a", 1)]
+
+
 def test_insert_if_absent_takes_the_first_of_the_batch(spark):
     rows = spark.createDataFrame([("a", 2, "late"), ("a", 1, "early"), ("b", 1, "x"), ("c", 1, "y")], "id string, pos int, v string")
     out = mu.insert_if_absent(rows, spark.createDataFrame([("c",)], "id string"), "id", "pos")
@@ -136,6 +150,8 @@ def test_filters_pages_and_compat(listing):
     assert ids(ls.find_by_status(listing, "RAW", limit=1, offset=1)) == "1"
     assert ids(ls.find_by_source(listing, "s2")) == "34"
     assert ls.count_articles(listing, status="RAW", category_id="c1", compat=True).first().total == 3
+    assert ls.count_articles(listing, category_id="c1").first().total == 3
+    assert ls.count_articles(listing, category_id="c1", compat=True).first().total == 4
     page = ls.article_page(listing, status="RAW", limit=1).collect()
     assert [(r.id, r.total, r.limit, r.offset) for r in page] == [("4", 3, 1, 0)]
     assert dict(ls.count_by(listing, "status").collect()) == {"RAW": 3, "DONE": 1}

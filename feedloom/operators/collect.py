@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from feedloom.functions.checks import is_url
 from feedloom.functions.text import blank_to_null, is_filled, utf16_length
 from feedloom.operators.joins import dimension_join, hot_keys, lookup_join
-from feedloom.schemas import FETCHED_FIELDS, FULL_CONTENT_CHARS
+from feedloom.schemas import FULL_CONTENT_CHARS
 from feedloom.sources.feeds import PARSE_ERROR
 from feedloom.sources.pages import Extractor, extract_pages, latest_per_url
 
+# The fields of a fetched page that a merge can use.
+MERGED_FIELDS = ("title", "html", "excerpt", "hero_image", "author", "published_at")
+
 Analyzer = Callable[[Column], Column]
 Merger = Callable[[Column, Column, Column], dict[str, Column]]
 
@@ -145,7 +148,7 @@ def merge_articles(
 ) -> DataFrame:
     """Items, sources and crawled pages to merged article inputs (one row per item)."""
     planned = plan_fetch(join_sources(items, sources), analyzer)
-    fetched = latest_per_url(extractor(pages), page_order).select("url", *FETCHED_FIELDS)
+    fetched = latest_per_url(extractor(pages), page_order, MERGED_FIELDS)
     # Counting the item table's URL column alone is cheaper than counting planned rows.
     return merge_items(attach_pages(planned, fetched, hot_keys(items, "url")), merger)
 

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.text import is_filled, utf16_length
 from feedloom.operators.joins import lookup_join
-from feedloom.schemas import FULL_CONTENT_CHARS, KNOWN_ITEM_KEYS
+from feedloom.schemas import FETCHED_FIELDS, FULL_CONTENT_CHARS, KNOWN_ITEM_KEYS
 from feedloom.sources.feeds import RAW_KEYS
 
 SAMPLE_ITEMS = 3
 MAX_REPORT_COLUMNS = 200
+SIZE_FIELDS = (
+    "word_count", "reading_time_minutes", "html_length", "text_length", "has_image", "has_author", "has_date",
+)
 
 
 def first_items(items: DataFrame, n: int = SAMPLE_ITEMS) -> DataFrame:
@@ -165,14 +168,11 @@ def all_match(report: DataFrame) -> DataFrame:
     )
 
 
-def fetch_report(requests: DataFrame, fetched: DataFrame, key: str) -> DataFrame:
-    """Per request ``(key, url)``: success flag and the sizes and presence of the record.
-
-    ``fetched`` is unique per URL; a URL requested very often is served by broadcast.
-    """
-    columns = ("word_count", "reading_time_minutes", "html_length", "text_length", "has_image", "has_author", "has_date")
-    sized = fetched.select(
-        "url",
+def page_sizes(extracted: DataFrame) -> DataFrame:
+    """What the fetch report needs of an extracted page; its texts become lengths."""
+    others = [c for c in extracted.columns if c not in FETCHED_FIELDS]
+    return extracted.select(
+        *others,
         "word_count",
         "reading_time_minutes",
         utf16_length(F.col("html")).cast("long").alias("html_length"),
@@ -181,15 +181,17 @@ def fetch_report(requests: DataFrame, fetched: DataFrame, key: str) -> DataFrame
         is_filled(F.col("author")).alias("has_author"),
         F.col("published_at").isNotNull().alias("has_date"),
     )
-    joined = lookup_join(requests, sized, "url", F.col(key))
-    page = {c: F.col(f"hit.{c}") for c in columns}
-    counts = {c: F.coalesce(page[c], F.lit(0).cast("long")) for c in columns[:4]}
-    flags = {c: F.coalesce(page[c], F.lit(False)) for c in columns[4:]}
-    return joined.select(
-        *requests.columns,
-        F.col("hit").isNotNull().alias("success"),
-        *[c.alias(n) for n, c in (counts | flags).items()],
-    )
+
+
+def fetch_report(requests: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """Per request ``(key, url)``: success flag and the page's ``SIZE_FIELDS``.
+
+    ``sizes`` is unique per URL; a URL requested very often is served by broadcast.
+    """
+    joined = lookup_join(requests, sizes.select("url", *SIZE_FIELDS), "url", F.col(key))
+    counts = [F.coalesce(F.col(f"hit.{c}"), F.lit(0).cast("long")).alias(c) for c in SIZE_FIELDS[:4]]
+    flags = [F.coalesce(F.col(f"hit.{c}"), F.lit(False)).alias(c) for c in SIZE_FIELDS[4:]]
+    return joined.select(*requests.columns, F.col("hit").isNotNull().alias("success"), *counts, *flags)
 
 
 def fetch_metrics(report: DataFrame, key: str) -> DataFrame:

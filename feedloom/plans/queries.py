@@ -469,8 +469,8 @@ def collection_verdict(c: Corpus) -> DataFrame:
 
 
 def _fetches(c: Corpus) -> DataFrame:
-    fetched = latest_per_url(extract_pages(c.crawl), "page_id")
-    return rp.fetch_report(c.items.select("item_id", "url"), fetched, "item_id")
+    sizes = latest_per_url(rp.page_sizes(extract_pages(c.crawl)), "page_id", rp.SIZE_FIELDS)
+    return rp.fetch_report(c.items.select("item_id", "url"), sizes, "item_id")
 
 
 @query

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import text as tx
 from feedloom.functions.dates import to_iso
-from feedloom.schemas import FETCHED_FIELDS
+from feedloom.schemas import EXCERPT_CHARS, FETCHED_FIELDS
 
 Extractor = Callable[[DataFrame], DataFrame]
 
@@ -72,14 +72,18 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             tx.blank_to_null(_content(F.col("_published"))), F.regexp_extract(html, TIME_TAG, 1)
         ).alias("_date"),
     )
-    counted = found.withColumn("text", tx.strip_html(F.col("_content")))
+    # The lead is kept apart from the text, so that a reader of the excerpt alone does not
+    # have every page stripped, only those without a description.
+    text = tx.strip_html(F.col("_content"))
+    lead = F.when(F.col("_description").isNull(), F.substring(text, 1, EXCERPT_CHARS))
+    counted = found.withColumns({"text": text, "_lead": lead})
     counted = counted.withColumn("word_count", tx.collapsed_word_count(F.col("text")))
     return counted.select(
         *others,
         "title",
         F.col("_content").alias("html"),
         "text",
-        F.coalesce("_description", tx.collapsed_excerpt(F.col("text"))).alias("excerpt"),
+        F.coalesce("_description", tx.collapsed_excerpt(F.col("_lead"))).alias("excerpt"),
         "hero_image",
         "author",
         to_iso(F.col("_date")).alias("published_at"),
@@ -104,7 +108,10 @@ def pandas_extractor(fn: Callable, schema: str) -> Extractor:
     return extract
 
 
-def latest_per_url(extracted: DataFrame, order: str) -> DataFrame:
-    """One record per URL, the one with the highest ``order``; combined before the shuffle."""
-    record = F.struct(*FETCHED_FIELDS)
+def latest_per_url(extracted: DataFrame, order: str, fields: tuple[str, ...] = FETCHED_FIELDS) -> DataFrame:
+    """One record per URL, the one with the highest ``order``; combined before the shuffle.
+
+    Name the ``fields`` that are needed: others are neither shuffled nor computed.
+    """
+    record = F.struct(*fields)
     return extracted.groupBy("url").agg(F.max_by(record, F.col(order)).alias("page")).select("url", "page.*")

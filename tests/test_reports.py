@@ -58,7 +58,8 @@ def test_fetch_report_and_counts(spark):
     fetched = spark.createDataFrame([("u", "<p>ab</p>", "ab", "img", "", None, 1, 1)],
                                     "url string, html string, text string, hero_image string, author string, published_at string, "
                                     "word_count long, reading_time_minutes long")
-    report = rp.fetch_report(spark.createDataFrame([(1, "u"), (2, "x")], "k long, url string"), fetched, "k")
+    report = rp.fetch_report(spark.createDataFrame([(1, "u"), (2, "x")], "k long, url string"), rp.page_sizes(
+        fetched.withColumns({"title": F.lit(""), "excerpt": F.lit("")})), "k")
     assert [tuple(r) for r in report.orderBy("k").collect()] == [
         (1, "u", True, 1, 1, 9, 2, True, False, False), (2, "x", False, 0, 0, 0, 0, False, False, False)]
     assert rp.fetch_counts(report).first() == (1, 1)

@@ -294,6 +294,21 @@ _add("patch_articles", "articles patches", f"""select t.id, {_patched('slug')} a
 from articles t left join combined p on p.id = t.id""", _PATCH_ISSUES, f"""combined as (
   select id, {', '.join(_last(f) for f in ('slug', 'category_id', 'tags', 'language', 'status'))}
   from patches where seq not in (select seq from patch_issues) group by id)""")
+
+
+def _patched_ai(unnamed_title: str, keywords: str, tokens: str) -> str:
+    return f"""select a.id, case when p.seq is null then a.slug when p.seq % 2 = 1 then null else {unnamed_title} end
+    as ai_title,
+  case when p.seq is null then 'm0' else concat('m', p.seq) end as ai_model,
+  case when p.seq is null then a.language else {keywords} end as ai_keywords,
+  cast(case when p.seq is null then 3 else {tokens} end as bigint) as ai_tokens,
+  case when p.seq is null then {_iso('a.updated_at')} else '{_NOW}' end as updated_at
+from articles a left join (select article_id, max(seq) as seq from commands where command = 'publish'
+  group by article_id) p on p.article_id = a.id"""
+
+
+_add("patch_ai_merge", "articles commands", _patched_ai("a.slug", "a.language", "3"))
+_add("patch_ai_replace", "articles commands", _patched_ai("null", "''", "null"))
 _add("rejected_patches", "patches", """select seq, path, message, 'VALIDATION_ERROR' as error_code,
   400::bigint as status_code from patch_issues""", _PATCH_ISSUES)
 _SOURCE_PATCH_ISSUES = f"""patch_issues as (
@@ -376,6 +391,7 @@ settled as (
   from settled)""")
 _add("lifecycle_replay", "articles commands", f"""select seq, article_id, command, status_before, status_after,
   {_refusal('status_before', 'command', 'base is not null', 'article_id')} as error from replayed""", *_REPLAY)
+ORACLES["lifecycle_stream"] = ORACLES["lifecycle_replay"]
 _add("lifecycle_final", "articles commands", f"""select a.id, coalesce(r.status, a.status) as status,
   coalesce({_iso('r.published')}, {_iso('a.published_at')}) as published_at
 from articles a left join (

@@ -20,10 +20,11 @@ from feedloom.operators import validate as va
 from feedloom.plans.collection import collect_feeds, settle
 from feedloom.plans.corpus import Corpus
 from feedloom.sources import feeds as fd
-from feedloom.sources import queues as qu
+from feedloom.schemas import AI
 from feedloom.sources.pages import extract_pages, latest_per_url
 from feedloom.sources.store import run_dir
 from feedloom.streaming import collection as sc
+from feedloom.streaming import lifecycle as sl
 from feedloom.streaming import publish as pb
 from feedloom.streaming import queue as qs
 from feedloom.streaming import refetch as rf
@@ -351,6 +352,42 @@ def _article_patches(c: Corpus) -> DataFrame:
     return c.patches.withColumns({n: F.lit(None).cast("string") for n in ("author", "cover_image")})
 
 
+def _with_ai(c: Corpus, mode: str) -> DataFrame:
+    """Articles whose ``ai`` record gets its model and title patched by the last purchase."""
+    filled = {
+        "title": F.col("slug"), "keywords": F.array("language"), "model": F.lit("m0"),
+        "token_usage": F.struct(F.lit(1).alias("input"), F.lit(2).alias("output"), F.lit(3).alias("total")),
+    }
+    ai = mu.empty_ai()
+    for name, value in filled.items():
+        ai = ai.withField(name, value.cast(AI[name].dataType))
+    last = c.commands.filter(F.col("command") == "publish").groupBy(F.col("article_id").alias("id"))
+    last = last.agg(F.max("seq").alias("seq"))
+    model = F.concat(F.lit("m"), F.col("seq"))
+    patches = last.select(
+        "id",
+        mu.empty_ai().withField("model", model).alias("ai"),
+        F.when(F.col("seq") % 2 == 0, F.array(F.lit("model"))).otherwise(
+            F.array(F.lit("model"), F.lit("title"))).alias("ai_fields"),
+    )
+    rows = mu.patch_ai(c.articles.withColumn("ai", ai), patches, as_of(), mode)
+    return rows.select(
+        "id", F.col("ai.title").alias("ai_title"), F.col("ai.model").alias("ai_model"),
+        F.array_join("ai.keywords", ",").alias("ai_keywords"), F.col("ai.token_usage.total").alias("ai_tokens"),
+        iso_utc(F.col("updated_at")).alias("updated_at"),
+    )
+
+
+@query
+def patch_ai_merge(c: Corpus) -> DataFrame:
+    return _with_ai(c, "merge")
+
+
+@query
+def patch_ai_replace(c: Corpus) -> DataFrame:
+    return _with_ai(c, "replace")
+
+
 @query
 def rejected_patches(c: Corpus) -> DataFrame:
     checked = va.with_errors(_article_patches(c), va.article_patch_issues())
@@ -564,6 +601,14 @@ def approved_events(c: Corpus) -> DataFrame:
     )
 
 
+@query
+def lifecycle_stream(c: Corpus) -> DataFrame:
+    commands = c.derive("commands", events=_stream(c, "events"))
+    rows = _drain(c, "commands", lambda out, state: sl.run_lifecycle(
+        commands, lambda: c.articles, out, f"{out}-statuses", state))
+    return rows.select("seq", "article_id", "command", "status_before", "status_after", "error")
+
+
 @query
 def approved_stream(c: Corpus) -> DataFrame:
     events = c.derive("bus", events=_stream(c, "events"))

@@ -13,7 +13,7 @@ from feedloom.plans.corpus import Corpus
 from feedloom.sources import store
 
 FOLDER = "/root/testdata/sf0.001"
-RUN_FIRST = {"queue_stream", "approved_stream", "scheduled_collect"}
+RUN_FIRST = {"queue_stream", "lifecycle_stream", "approved_stream", "scheduled_collect"}
 
 
 def plan_of(df):

@@ -2,10 +2,12 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from feedloom.operators import lifecycle as li
 from feedloom.operators import mutate as mu
 from feedloom.sources import queues as qu
 from feedloom.sources.store import append_batch
 from feedloom.streaming import collection as sc
+from feedloom.streaming import lifecycle as sl
 from feedloom.streaming import publish as pb
 from feedloom.streaming import queue as qs
 from feedloom.streaming import refetch as rf
@@ -68,6 +70,23 @@ def test_collection_is_idempotent_over_several_triggers(spark, tmp_path):
     assert spark.read.parquet(queue).count() == 2
 
 
+def test_command_stream_equals_one_replay(spark, tmp_path):
+    inbox, out, statuses, state = (str(tmp_path / n) for n in ("inbox", "out", "statuses", "state"))
+    schema = "seq long, article_id string, command string, ts timestamp"
+    names = ("submit", "approve", "publish", "archive", "reject", "publish")
+    log = [(i, "a" if i % 3 else ("b" if i % 2 else "x"), names[i * 7 % 6], DAY + timedelta(minutes=i)) for i in range(60)]
+    table = articles(spark).withColumn("published_at", F.lit(None).cast("timestamp"))
+    for part in range(3):
+        spark.createDataFrame(log[part * 20:part * 20 + 20], schema).coalesce(1).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(schema).parquet(inbox)
+        sl.run_lifecycle(stream, lambda: table, out, statuses, state).awaitTermination()
+    whole = li.replay(table, spark.createDataFrame(log, schema))
+    columns = ["seq", "status_before", "status_after", "error"]
+    assert sorted(spark.read.parquet(out).select(*columns).collect(), key=str) == sorted(whole.select(*columns).collect(), key=str)
+    changes = spark.read.parquet(statuses)
+    assert sorted(sl.current_statuses(table, changes).collect()) == sorted(li.final_statuses(table, whole).collect())
+
+
 def test_messages_are_written_only_to_a_configured_queue(spark, tmp_path):
     qu.send_messages(articles(spark), None)
     qu.send_messages(articles(spark), str(tmp_path / "q"))

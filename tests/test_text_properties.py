@@ -10,7 +10,9 @@ from feedloom.functions import text as tx
 
 SPACES = tx.WS_CHARS
 SPACE = "[" + "".join(f"\\u{ord(c):04x}" for c in SPACES) + "]"
-ALPHABET = list("abZ09_-.&;<>/ ") + ["\n", "\t", " ", " ", "﻿", "\u0085", "​", "é", "一", "\U0001f600"]
+ALPHABET = list("abZ09_-.&;<>/ ") + [
+    "\n", "\t", "\u00a0", "\u3000", "\ufeff", "\u0085", "\u200b", "\u00e9", "\u4e00", "\U0001f600",
+]
 
 
 def units(s):

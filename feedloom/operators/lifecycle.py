@@ -167,14 +167,18 @@ def _push_down(grouped: DataFrame, keys: list[str], fields: list[str], map_of: M
     return rows.select(*keys, *[F.col(f"_p.part.{f}").alias(f) for f in fields], F.col("_p.at").alias("start"))
 
 
-def replay(articles: DataFrame, commands: DataFrame) -> DataFrame:
+def replay(
+    articles: DataFrame, commands: DataFrame, units: tuple[str, ...] = ("second", "hour")
+) -> DataFrame:
     """Run the whole log ``commands(seq, article_id, command, ts)`` in ``(ts, seq)`` order.
 
     One row per command with ``status_before``, ``status_after`` and ``error``; commands
-    on unknown articles come out with null statuses and a not-found error. Keys are
-    filtered once and the steps down are left joins that always match: filters that joins
-    add on their own would differ per level, and then the log would be read and shuffled
-    once per level instead of once. Commands without article or time are left out.
+    on unknown articles come out with null statuses and a not-found error. ``units`` are
+    the time slices from fine to coarse; add finer ones (``millisecond``) for articles with
+    very many commands per second. Keys are filtered once and the steps down are left joins
+    that always match: filters that joins add on their own would differ per level, and then
+    the log would be read and shuffled once per level instead of once. Commands without
+    article or time are left out.
     """
     def stored(part: Column) -> Column:
         return part["map"]
@@ -182,29 +186,27 @@ def replay(articles: DataFrame, commands: DataFrame) -> DataFrame:
     def of_command(part: Column) -> Column:
         return F.get(_command_table(), part["code"])
 
-    keyed = commands.select(
-        "article_id",
-        F.date_trunc("hour", "ts").alias("hour"),
-        F.date_trunc("second", "ts").alias("second"),
-        "ts",
-        "seq",
-        "command",
-        _command_index(F.col("command")).alias("code"),
-    )
-    by_hour, by_second = ["article_id", "hour"], ["article_id", "hour", "second"]
-    for key in by_second:
+    def keys(level: int) -> list[str]:
+        """Keys of a level: the article and the slices it lies in, coarsest first."""
+        return ["article_id", *reversed(units[level:])]
+
+    fields = ["ts", "seq", "command"]
+    slices = [F.date_trunc(unit, "ts").alias(unit) for unit in units]
+    code = _command_index(F.col("command")).alias("code")
+    keyed = commands.select("article_id", *slices, *fields, code)
+    for key in keys(0):
         keyed = keyed.filter(F.col(key).isNotNull())
-    seconds = _ordered(keyed, by_second, ["ts", "seq", "command", "code"], of_command)
-    hours = _ordered(seconds, by_hour, ["second", "map"], stored)
-    whole = _ordered(hours, ["article_id"], ["hour", "map"], stored)
-    base = articles.select(F.col("id").alias("article_id"), "status")
-    begun = whole.join(base, "article_id", "left").withColumn("start", _status_index(F.col("status")))
 
-    hour_starts = _push_down(begun, ["article_id"], ["hour"], stored)
-    at_hour = hours.join(hour_starts, by_hour, "left")
-    second_starts = _push_down(at_hour, by_hour, ["second"], stored)
-    at_second = seconds.join(second_starts, by_second, "left")
-    rows = _push_down(at_second, ["article_id"], ["ts", "seq", "command"], of_command)
+    levels = [_ordered(keyed, keys(0), [*fields, "code"], of_command)]
+    for level, unit in enumerate(units, start=1):
+        levels.append(_ordered(levels[-1], keys(level), [unit, "map"], stored))
+
+    base = articles.select(F.col("id").alias("article_id"), "status")
+    rows = levels[-1].join(base, "article_id", "left").withColumn("start", _status_index(F.col("status")))
+    for level in range(len(units), 0, -1):
+        starts = _push_down(rows, keys(level), [units[level - 1]], stored)
+        rows = levels[level - 1].join(starts, keys(level - 1), "left")
+    rows = _push_down(rows, ["article_id"], fields, of_command)
 
     before = _status_name(F.col("start"))
     named = rows.withColumn("status_before", before)

@@ -12,7 +12,7 @@ from feedloom.operators import mutate as mu
 from feedloom.operators import validate as va
 from feedloom.sources import feeds as fd
 from feedloom.sources.queues import article_messages
-from feedloom.sources.store import stage
+from feedloom.sources.store import run_dir, stage
 
 
 @dataclass(frozen=True)
@@ -60,13 +60,21 @@ def feed_items(parsed: DataFrame) -> DataFrame:
 
 
 def collect_feeds(
-    feeds: DataFrame, sources: DataFrame, pages: DataFrame, stored: DataFrame, as_of: Column, **plug_ins
+    feeds: DataFrame,
+    sources: DataFrame,
+    pages: DataFrame,
+    stored: DataFrame,
+    as_of: Column,
+    work_dir: str | None = None,
+    **plug_ins,
 ) -> Collection:
     """From feed documents to created articles, rejects, errors and counters.
 
-    Parsed feeds and merged items are written to the shared folder, so that each document
-    is parsed once and each item merged once, however many outputs are used.
+    Parsed feeds and merged items are written below ``work_dir`` (a fresh folder of the
+    shared folder if not given), so that each document is parsed once and each item merged
+    once, however many outputs are used. The next run may use the same ``work_dir``.
     """
-    parsed = stage(fd.parse_feeds(feeds), "parsed-feeds")
-    merged = stage(co.merge_articles(feed_items(parsed), sources, pages, **plug_ins), "merged-items")
+    work = work_dir or run_dir(feeds.sparkSession, "collection")
+    parsed = stage(fd.parse_feeds(feeds), f"{work}/parsed")
+    merged = stage(co.merge_articles(feed_items(parsed), sources, pages, **plug_ins), f"{work}/merged")
     return settle(merged, sources, stored, as_of, co.source_errors(sources, parsed))

@@ -38,14 +38,13 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame once to the shared folder and read it from there.
+def stage(df: DataFrame, path: str) -> DataFrame:
+    """Write a frame once and read it from there, replacing what an earlier run left.
 
     For results that several later jobs use: they are not computed again, not even after
     the loss of an executor, and each job reads only the columns it needs.
     """
-    path = run_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -73,6 +73,8 @@ def test_replay_equals_one_by_one(spark, seed):
             published[name] = at
         state[name] = after
     assert got == expected
+    fine = li.replay(table, commands, units=("millisecond", "second", "minute", "day"))
+    assert {r.seq: (r.status_before, r.status_after, r.error) for r in fine.collect()} == expected
     ends = {r.id: (r.status, r.published_at) for r in li.final_statuses(table, li.replay(table, commands)).collect()}
     assert ends == {n: (s, published.get(n)) for n, s in state.items()}
 

@@ -1,7 +1,8 @@
 """Collection: decide per item how to get its text, join pages, merge both records.
 
 Plan shape: items join the few active sources by broadcast; only items that need their
-page are shuffled (by URL), all others bypass the join; extraction runs in the page scan.
+page are shuffled (by URL), all others bypass the join; extraction runs in the page scan,
+for a small run only on the pages it needs.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.checks import is_url
 from feedloom.functions.text import blank_to_null, is_filled, utf16_length
-from feedloom.operators.joins import dimension_join, hot_keys, lookup_join
+from feedloom.operators.joins import dimension_join, fits_broadcast, hot_keys, lookup_join
 from feedloom.schemas import FULL_CONTENT_CHARS
 from feedloom.sources.feeds import PARSE_ERROR
 from feedloom.sources.pages import Extractor, extract_pages, latest_per_url
@@ -72,14 +73,31 @@ def plan_fetch(items: DataFrame, analyzer: Analyzer = has_full_content) -> DataF
     return planned.withColumn("needs_page", F.col("strategy") == "RSS_PLUS_HTML_FETCH")
 
 
+def can_fetch() -> Column:
+    """The page is needed and its address is one; anything else can never be fetched."""
+    return F.col("needs_page") & F.coalesce(is_url(F.col("url")), F.lit(False))
+
+
+def wanted_pages(items: DataFrame, planned: DataFrame, pages: DataFrame) -> DataFrame:
+    """Leave pages out that no item needs, before they are extracted.
+
+    A run over few items must not extract a crawl of all times: the addresses are broadcast
+    if the run's items are few (counting stops at the limit and reads no texts). A large
+    run needs most pages anyway and skips this; the join later decides.
+    """
+    if not fits_broadcast(items.select("url")):
+        return pages
+    addresses = planned.filter(can_fetch()).select("url").distinct()
+    return pages.join(F.broadcast(addresses), "url", "left_semi")
+
+
 def attach_pages(planned: DataFrame, fetched: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Left join the fetched record (unique per URL) as struct ``page`` where it is needed.
 
-    An address that is no URL can never be fetched, so such rows stay out of the shuffle.
+    All other rows, also those with an address that is no URL, stay out of the shuffle.
     """
-    can_fetch = F.col("needs_page") & F.coalesce(is_url(F.col("url")), F.lit(False))
-    direct = planned.filter(~can_fetch)
-    joined = lookup_join(planned.filter(can_fetch), fetched, "url", F.col("item_id"), hot, hit="page")
+    direct = planned.filter(~can_fetch())
+    joined = lookup_join(planned.filter(can_fetch()), fetched, "url", F.col("item_id"), hot, hit="page")
     return joined.unionByName(direct, allowMissingColumns=True)
 
 
@@ -148,7 +166,7 @@ def merge_articles(
 ) -> DataFrame:
     """Items, sources and crawled pages to merged article inputs (one row per item)."""
     planned = plan_fetch(join_sources(items, sources), analyzer)
-    fetched = latest_per_url(extractor(pages), page_order, MERGED_FIELDS)
+    fetched = latest_per_url(extractor(wanted_pages(items, planned, pages)), page_order, MERGED_FIELDS)
     # Counting the item table's URL column alone is cheaper than counting planned rows.
     return merge_items(attach_pages(planned, fetched, hot_keys(items, "url")), merger)
 

@@ -348,17 +348,26 @@ def _refusal(status: str, command: str, found: str, key: str) -> str:
     when {command} = 'archive' and {status} = 'ARCHIVED' then 'Article is already archived.' end"""
 
 
-_add("lifecycle_step", "articles commands", f"""select c.article_id, c.seq, c.command, a.status,
-  case when a.id is null then null when c.command = 'archive' then 'ARCHIVED'
-    when c.command = 'submit' then 'PENDING_REVIEW'
-    when c.command = 'publish' and a.status = 'APPROVED' then 'PUBLISHED'
-    when c.command = 'approve' and a.status = 'PENDING_REVIEW' then 'APPROVED'
-    when c.command = 'reject' and a.status = 'PENDING_REVIEW' then 'REJECTED' else a.status end as new_status,
-  case when c.command = 'publish' and a.status = 'APPROVED' then '{_NOW}' else {_iso('a.published_at')} end
-    as published_at,
-  {_refusal('a.status', 'c.command', 'a.id is not null', 'c.article_id')} as error
-from (select * from commands qualify row_number() over (partition by article_id order by ts desc, seq desc) = 1) c
-left join articles a on a.id = c.article_id""")
+_add("lifecycle_step", "articles commands", "select * from stepped", f"""stepped as (
+  select c.article_id, c.seq, c.command, a.status,
+    case when a.id is null then null when c.command = 'archive' then 'ARCHIVED'
+      when c.command = 'submit' then 'PENDING_REVIEW'
+      when c.command = 'publish' and a.status = 'APPROVED' then 'PUBLISHED'
+      when c.command = 'approve' and a.status = 'PENDING_REVIEW' then 'APPROVED'
+      when c.command = 'reject' and a.status = 'PENDING_REVIEW' then 'REJECTED' else a.status end as new_status,
+    case when c.command = 'publish' and a.status = 'APPROVED' then '{_NOW}' else {_iso('a.published_at')} end
+      as published_at,
+    {_refusal('a.status', 'c.command', 'a.id is not null', 'c.article_id')} as error
+  from (select * from commands
+    qualify row_number() over (partition by article_id order by ts desc, seq desc) = 1) c
+  left join articles a on a.id = c.article_id)""")
+ORACLES["lifecycle_apply"] = ORACLES["lifecycle_step"].removesuffix("select * from stepped") + f"""
+select a.id, a.slug, a.source_id, a.category_id, array_to_string(a.tags, ',') as tags, a.language,
+  coalesce(s.new_status, a.status) as status,
+  case when s.article_id is null then {_iso('a.published_at')} else s.published_at end as published_at,
+  {_iso('a.created_at')} as created_at,
+  case when s.article_id is null then {_iso('a.updated_at')} else '{_NOW}' end as updated
+from articles a left join stepped s on s.article_id = a.id and s.error is null"""
 
 # A submit or archive fixes the status whatever came before, so the log falls into
 # segments; inside one only the first decision and the first publish after it count.

@@ -443,6 +443,13 @@ def lifecycle_step(c: Corpus) -> DataFrame:
     )
 
 
+@query
+def lifecycle_apply(c: Corpus) -> DataFrame:
+    outcomes = li.step(c.articles, li.latest_command(c.commands), as_of())
+    rows = li.apply_outcomes(c.articles, outcomes, as_of())
+    return _shown(rows.withColumn("updated", iso_utc(F.col("updated_at"))), "updated")
+
+
 @query
 def lifecycle_replay(c: Corpus) -> DataFrame:
     rows = li.replay(c.articles, c.commands)

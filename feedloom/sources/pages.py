@@ -95,7 +95,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 def pandas_extractor(fn: Callable, schema: str) -> Extractor:
     """Wrap a pandas batch function (page frame in, record frame out) as an extractor.
 
-    ``schema`` must list ``url`` and the fetched fields. Arrow batches, no shuffle.
+    ``schema`` must list ``url``, the column that orders pages of one URL, and the fetched
+    fields. Arrow batches, no shuffle.
     """
 
     def extract(pages: DataFrame) -> DataFrame:

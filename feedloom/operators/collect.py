@@ -185,9 +185,9 @@ def collect_log(merged: DataFrame) -> DataFrame:
     )
 
 
-def source_errors(sources: DataFrame, parsed_feeds: DataFrame) -> DataFrame:
+def source_errors(sources: DataFrame, scanned: DataFrame) -> DataFrame:
     """One error row per collectable source with an unreadable feed document."""
-    failed = parsed_feeds.groupBy("source_id").agg(F.bool_and("feed_ok").alias("_ok")).filter(~F.col("_ok"))
+    failed = scanned.groupBy("source_id").agg(F.bool_and("feed_ok").alias("_ok")).filter(~F.col("_ok"))
     bad = collectable_sources(sources).join(failed, "source_id", "left_semi")
     return bad.select(
         F.lit("source").alias("kind"),

@@ -53,9 +53,11 @@ def settle(
     )
 
 
-def feed_items(parsed: DataFrame) -> DataFrame:
-    """Normalised items of parsed feeds, identified by their guid, else their address."""
-    items = fd.normalise_items(fd.explode_items(parsed), keep_raw=True)
+def scan_feeds(feeds: DataFrame) -> DataFrame:
+    """Normalised items, identified by their guid, else their address, with the outcome of
+    their document; a document without items has one row whose position is null."""
+    exploded = fd.explode_items(fd.parse_feeds(feeds), keep_empty=True)
+    items = fd.normalise_items(exploded, keep_raw=True)
     return items.withColumn("item_id", F.coalesce("raw.guid", "url")).drop("raw")
 
 
@@ -70,11 +72,12 @@ def collect_feeds(
 ) -> Collection:
     """From feed documents to created articles, rejects, errors and counters.
 
-    Parsed feeds and merged items are written below ``work_dir`` (a fresh folder of the
+    Scanned feeds and merged items are written below ``work_dir`` (a fresh folder of the
     shared folder if not given), so that each document is parsed once and each item merged
     once, however many outputs are used. The next run may use the same ``work_dir``.
     """
     work = work_dir or run_dir(feeds.sparkSession, "collection")
-    parsed = stage(fd.parse_feeds(feeds), f"{work}/parsed")
-    merged = stage(co.merge_articles(feed_items(parsed), sources, pages, **plug_ins), f"{work}/merged")
-    return settle(merged, sources, stored, as_of, co.source_errors(sources, parsed))
+    scanned = stage(scan_feeds(feeds), f"{work}/scanned")
+    items = scanned.filter(F.col("pos").isNotNull())
+    merged = stage(co.merge_articles(items, sources, pages, **plug_ins), f"{work}/merged")
+    return settle(merged, sources, stored, as_of, co.source_errors(sources, scanned))

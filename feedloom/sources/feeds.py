@@ -93,10 +93,15 @@ def parse_feeds(feeds: DataFrame) -> DataFrame:
     )
 
 
-def explode_items(parsed: DataFrame) -> DataFrame:
-    """One row per feed item with its position; a feed without items gives none."""
+def explode_items(parsed: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """One row per feed item with its position; a feed without items gives none.
+
+    ``keep_empty`` keeps one row with a null position for such a feed, so that one table
+    holds the items and the outcome of every document.
+    """
     others = [c for c in parsed.columns if c != "raw_items"]
-    return parsed.select(*others, F.posexplode("raw_items").alias("pos", "_raw")).select(
+    explode = F.posexplode_outer if keep_empty else F.posexplode
+    return parsed.select(*others, explode("raw_items").alias("pos", "_raw")).select(
         *others, F.col("pos").cast("long").alias("pos"), raw_item(F.col("_raw")).alias("raw")
     )
 

@@ -24,10 +24,10 @@ def oracle():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.QUERIES) == set(entry.ORACLES)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.QUERIES))
 def test_query(spark, oracle, name):
     df = entry.queries()[name](spark, str(FOLDER))
     columns = sorted(df.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import quality, secrets, sharding
+from feedloom.llm import near_dedup, quality, secrets, sharding
 from feedloom.llm.common import table
 from feedloom.sources.store import run_dir
 
@@ -19,6 +19,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_versions(table(spark, sf_dir, "documents"), ledger))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_quality_cascade": op8_quality_cascade,
     "op10_rendezvous_shards": op10_rendezvous_shards,
 }

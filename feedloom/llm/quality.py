@@ -16,12 +16,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import let, staged, words
+from feedloom.llm.common import WINDOW, let, staged, window_hashes, words
 
 #: Rows at most on which cost and selectivity are estimated, and the share they are drawn from.
 SAMPLE_ROWS = 1000
 SAMPLE_SHARE = 0.02
-WINDOW = 5
 SYMBOLS = "[#*$%&|<>]"
 BULLETS = r"^\s*[-*•‣▪●]"
 
@@ -49,13 +48,6 @@ def rules() -> list[Rule]:
     ]
 
 
-def window_hashes(tokens: Column, window: int = WINDOW) -> Column:
-    """64-bit hashes of all windows of ``window`` words of the array column ``tokens``."""
-    starts = F.sequence(F.lit(0), F.size(tokens) - window)
-    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(window)]))
-    return F.when(F.size(tokens) >= window, hashes).otherwise(F.expr("cast(array() as array<bigint>)"))
-
-
 def repeated_words(grams: Column, window: int = WINDOW) -> Column:
     """Words in windows found twice or more, first ones included; ``grams``: the windows' hashes.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import near_dedup, quality, secrets, sharding
+from feedloom.llm import decontaminate, line_dedup, near_dedup, quality, secrets, sharding
 from feedloom.llm.common import table
 from feedloom.sources.store import run_dir
 
@@ -19,6 +19,16 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_versions(table(spark, sf_dir, "documents"), ledger))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeated_lines(docs)
+
+
+def op3_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(documents, benchmark).drop("text_hash")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"))
 
@@ -34,6 +44,8 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_benchmark_windows": op3_benchmark_windows,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_quality_cascade": op8_quality_cascade,
     "op10_rendezvous_shards": op10_rendezvous_shards,

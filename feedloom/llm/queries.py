@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import decontaminate, line_dedup, near_dedup, quality, secrets, sharding
+from feedloom.llm import decontaminate, html_main, line_dedup, near_dedup, quality, secrets, sharding, surrogates
 from feedloom.llm.common import table
 from feedloom.sources.store import run_dir
 
 SHARDS = 24
+#: Stands for a secret that a deployment brings along.
+SURROGATE_KEY = "surrogate-key"
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +31,15 @@ def op3_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents, benchmark).drop("text_hash")
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_private(docs, SURROGATE_KEY)
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"))
 
@@ -46,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_line_dedup": op2_line_dedup,
     "op3_benchmark_windows": op3_benchmark_windows,
+    "op4_main_text": op4_main_text,
+    "op5_surrogates": op5_surrogates,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_quality_cascade": op8_quality_cascade,
     "op10_rendezvous_shards": op10_rendezvous_shards,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import decontaminate, html_main, line_dedup, near_dedup, quality, secrets, sharding, surrogates
+from feedloom.llm import decontaminate, html_main, line_dedup, near_dedup, packing, quality, secrets, sharding, surrogates, toxicity
 from feedloom.llm.common import table
 from feedloom.sources.store import run_dir
 
@@ -40,6 +40,10 @@ def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_private(docs, SURROGATE_KEY)
 
 
+def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,10 @@ def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = dict.fromkeys(range(SHARDS), 1.0)
     return sharding.shard_records(table(spark, sf_dir, "documents"), now, now | {SHARDS: 1.0})
@@ -59,8 +67,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_windows": op3_benchmark_windows,
     "op4_main_text": op4_main_text,
     "op5_surrogates": op5_surrogates,
+    "op6_length_buckets": op6_length_buckets,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_quality_cascade": op8_quality_cascade,
+    "op9_toxicity": op9_toxicity,
     "op10_rendezvous_shards": op10_rendezvous_shards,
 }
 

@@ -5,9 +5,10 @@
 2. Nodes that share a band hash share a bucket. A bucket's members are compared with the
    bucket's smallest node, then with the member that has most links so far. Buckets whose
    members are all connected by then need nothing more.
-3. What is left (nodes that are not yet connected with others of their bucket) is compared
-   with the whole bucket in blocks, by signature, so that no link between different texts
-   is lost and no pair is emitted only for sharing a bucket.
+3. What is left is compared in blocks, so that no link between different texts is lost and no
+   pair is emitted only for sharing a bucket. Nodes that the comparisons so far found akin
+   form families: in each, the nodes outside its largest connected part are compared with all,
+   on the full sets. Nodes of different families in one bucket are compared by signature.
 4. Every pair is confirmed on the full sets before it counts as a link; connected components
    of the links are the groups.
 
@@ -34,9 +35,11 @@ BANDS, BAND_ROWS = 25, 5
 PERCENT = 85
 #: Members of a leader's list, or of a block of a bucket, that are compared in one piece.
 LIST_ROWS, BLOCK_ROWS = 100, 256
-#: Equal slots, of 125, below which a pair is not verified: 8 standard deviations under the
-#: mean for the least similarity that counts.
-LEAST_EQUAL_SLOTS = 74
+#: Equal slots, of 125, below which a pair is not verified: 4.5 standard deviations of plain
+#: MinHash, more of SuperMinHash, under the mean for the least similarity that counts.
+LEAST_EQUAL_SLOTS = 88
+#: Like PERCENT, for members of one family.
+KIN_PERCENT = 60
 #: Ids of nodes whose rows all have a null doc_id carry this bit.
 NO_ID = 1 << 62
 CHUNK = 256
@@ -70,32 +73,32 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SIGNED = "doc_id bigint, text_hash bigint, n_shingles bigint, set_key string, bands array<bigint>, slots binary"
 
 
-def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    return len(np.intersect1d(a, b, assume_unique=True))
 
 
-def _verify_lists(percent: int):
+def _verify_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (leader, part, is_member): a leader's text, then its members'."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, whole = None, np.empty(0, np.uint64)
-        for batch in _chunks(batches):
-            found = []
-            leaders, parts, nodes = (batch.column(c).to_pylist() for c in ("leader", "part", "node"))
-            for leader, part, node, text in zip(leaders, parts, nodes, _texts(batch.column("text")), strict=True):
-                elements = shingles(text)
-                if node == leader:
-                    held, whole = (leader, part), elements
-                elif held == (leader, part) and _alike(whole, elements, percent):
-                    found.append((leader, node))
-            yield pa.RecordBatch.from_pydict({
-                "a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64()),
-            })
-    return run
-
-
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The distinct ``pairs`` (leader, node) whose sets are alike, as (a, b); ``texts``: (node, text).
+    held, whole = None, np.empty(0, np.uint64)
+    for batch in _chunks(batches):
+        found: list[tuple[int, int, int, int]] = []
+        leaders, parts, nodes = (batch.column(c).to_pylist() for c in ("leader", "part", "node"))
+        for leader, part, node, text in zip(leaders, parts, nodes, _texts(batch.column("text")), strict=True):
+            elements = shingles(text)
+            if node == leader:
+                held, whole = (leader, part), elements
+                continue
+            both = _common(whole, elements)
+            of = len(whole) + len(elements) - both
+            if held == (leader, part) and 100 * both >= KIN_PERCENT * of:
+                found.append((leader, node, both, of))
+        columns = zip(*found, strict=True) if found else ([], [], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "both", "of"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, both, of) of the distinct ``pairs`` (leader, node) whose sets are akin: the sizes
+    of intersection and union. ``texts``: (node, text).
 
     A leader's list is cut into parts of about ``LIST_ROWS``, each with a copy of the leader's
     text, so a leader with very many members is spread over tasks.
@@ -108,57 +111,65 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     rows = wanted.join(texts, "node").withColumn("_member", F.col("node") != F.col("leader"))
     dealt = rows.repartition("leader", "part").sortWithinPartitions("leader", "part", "_member", "node")
     held = dealt.select("leader", "part", "node", "text")
-    return staged(held.mapInArrow(_verify_lists(percent), "a bigint, b bigint"), "links")
+    return staged(held.mapInArrow(_verify_lists, "a bigint, b bigint, both bigint, of bigint"), "akin")
 
 
-def _compare_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        left, right = [], []
-        columns = [batch.column(c).to_pylist() for c in ("asking", "asking_labels", "asking_slots", "nodes", "labels", "slots")]
-        for asking, asking_labels, asking_slots, nodes, labels, slots in zip(*columns, strict=True):
-            queries = np.frombuffer(b"".join(asking_slots), np.uint16).reshape(len(asking), -1)
-            against = np.frombuffer(b"".join(slots), np.uint16).reshape(len(nodes), -1)
-            asking, nodes, labels = np.array(asking), np.array(nodes), np.array(labels)
-            for node, label, row in zip(asking, asking_labels, queries, strict=True):
-                near = (against == row).sum(axis=1) >= LEAST_EQUAL_SLOTS
-                near &= (labels != label) & (nodes != node)
-                right += nodes[near].tolist()
-                left += [int(node)] * int(near.sum())
-        yield pa.RecordBatch.from_pydict({
-            "leader": pa.array(np.maximum(left, right).astype(np.int64) if left else [], pa.int64()),
-            "node": pa.array(np.minimum(left, right).astype(np.int64) if left else [], pa.int64()),
-        })
+def links_of(akin: DataFrame, percent: int) -> DataFrame:
+    return akin.filter(100 * F.col("both") >= percent * F.col("of")).select("a", "b")
+
+
+def _near(asking: pa.Table, answering: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Each asking row with the places of the answering ones of another label whose slots agree enough."""
+    queries, against = (np.frombuffer(b"".join(t.column("slots").to_pylist()), np.uint16).reshape(t.num_rows, -1) for t in (asking, answering))
+    labels, own = answering.column("label").to_numpy(), asking.column("label").to_numpy()
+    for i, row in enumerate(queries):
+        near = ((against == row).sum(axis=1) >= LEAST_EQUAL_SLOTS) & (labels != own[i])
+        yield i, np.flatnonzero(near)
+
+
+def _compare_by_slots(asking: pa.Table, answering: pa.Table) -> pa.Table:
+    left, right = asking.column("node").to_numpy(), answering.column("node").to_numpy()
+    pairs = [(int(left[i]), int(x)) for i, at in _near(asking, answering) for x in right[at]]
+    columns = ([max(p) for p in pairs], [min(p) for p in pairs])
+    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], ["leader", "node"])
 
 
-def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``members`` (bucket, node, ...) with the label of each node's component so far."""
+def _compare_by_sets(percent: int):
+    def run(asking: pa.Table, answering: pa.Table) -> pa.Table:
+        left, right = asking.column("node").to_numpy(), answering.column("node").to_numpy()
+        queries, against = ([shingles(t) for t in _texts(x.column("text").combine_chunks())] for x in (asking, answering))
+        links = []
+        for i, at in _near(asking, answering):
+            for k in at:
+                both = _common(queries[i], against[k])
+                if 100 * both >= percent * (len(queries[i]) + len(against[k]) - both):
+                    links.append((int(left[i]), int(right[k])))
+        return pa.Table.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+    return run
+
+
+def labelled(members: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``members`` (node, ...) with the component of each node in ``links``, or itself, as ``name``."""
     labels = components(links).withColumnRenamed("label", "_label")
-    return members.join(labels, "node", "left").withColumn("label", F.coalesce("_label", "node")).drop("_label")
+    return members.join(labels, "node", "left").withColumn(name, F.coalesce("_label", "node")).drop("_label")
 
 
-def residual_pairs(members: DataFrame, slots: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket whose signatures agree enough.
+def compare_rest(members: DataFrame, group: str, more: DataFrame, function, schema: str) -> DataFrame:
+    """Compare, in each group of more than one label, the rows outside the largest label with all.
 
-    ``members``: (bucket, node, label) of all buckets. A node outside its bucket's largest
-    component asks, the whole bucket answers, block against block.
+    ``members``: (group, node, label); ``more`` has what ``function`` needs by node. Groups are
+    cut into blocks of about ``BLOCK_ROWS``; the rows that ask go to every block of their group.
     """
-    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("k"))
-    spread = sizes.groupBy("bucket").agg(
+    sizes = members.groupBy(group, "label").agg(F.count("*").alias("k"))
+    open_groups = sizes.groupBy(group).agg(
         F.sum("k").alias("n"), F.count("*").alias("labels"), F.max_by("label", "k").alias("largest")
     ).filter("labels > 1 and n > 2").withColumn("blocks", F.floor(F.col("n") / BLOCK_ROWS) + 1)
-    rows = members.join(spread.select("bucket", "blocks", "largest"), "bucket").join(slots, "node")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    packed = [F.collect_list(c).alias(c) for c in ("node", "label", "slots")]
-    answer = rows.groupBy("bucket", "block", "blocks").agg(*packed)
-    asking = rows.filter("label <> largest").groupBy("bucket", "block", "blocks").agg(*packed)
-    asking = asking.select(
-        "bucket", F.col("node").alias("asking"), F.col("label").alias("asking_labels"),
-        F.col("slots").alias("asking_slots"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-    )
-    answer = answer.select("bucket", "block", F.col("node").alias("nodes"), F.col("label").alias("labels"), "slots")
-    return asking.join(answer, ["bucket", "block"]).drop("bucket", "block").mapInArrow(
-        _compare_blocks, "leader bigint, node bigint"
-    ).distinct()
+    rows = members.join(open_groups.select(group, "blocks", "largest"), group).join(more, "node")
+    answering = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    asking = rows.filter("label <> largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asking = asking.select(*[F.col(c).alias(c) for c in asking.columns])  # columns of its own, for the cogroup
+    key = [group, "block"]
+    return asking.groupBy(*key).cogroup(answering.groupBy(*key)).applyInArrow(function, schema)
 
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -170,13 +181,30 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     all of it is null. Repeated rows come back as often as given. Other columns are left
     out; an empty table gives an empty one.
     """
+    return grouped(docs, percent).drop("text_hash")
+
+
+def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs``, all columns, with the row of the smallest id of each group.
+
+    Of repeated rows one stays. Rows with a null id stay if their group has no id at all.
+    """
+    kept = grouped(docs, percent).filter("kept or component_id is null")
+    kept = kept.select(F.col("doc_id").alias("_id"), F.coalesce("text_hash", F.lit(0)).alias("_hash")).distinct()
+    held = docs.withColumn("_text_hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    return held.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+
+
+def grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """``groups`` with each row's ``text_hash``."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     signed = staged(docs.mapInArrow(_sign, SIGNED), "signed")
     whole = signed.filter("set_key is not null")
     fallback = F.shiftrightunsigned(F.xxhash64("set_key"), 2).bitwiseOR(F.lit(NO_ID))
     sets = whole.groupBy("set_key").agg(F.min("doc_id").alias("first_id"))
     sets = sets.withColumn("node", F.coalesce("first_id", fallback))
-    rows = staged(whole.select("doc_id", "n_shingles", "set_key").join(sets, "set_key").drop("set_key"), "rows")
+    rows = staged(whole.select("doc_id", "text_hash", "n_shingles", "set_key").join(sets, "set_key").drop("set_key"), "rows")
 
     of_set = (F.col("set_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
     heads = whole.join(sets.withColumnRenamed("set_key", "_key"), of_set).dropDuplicates(["node"])
@@ -193,24 +221,34 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     texts = staged(docs.alias("own").join(sharing.alias("sharing"), of_node).select("node", "text"), "texts")
 
     first = members.filter("node <> leader").select("leader", "node").distinct()
-    links = verified(first, texts, percent)
+    akin = verified(first, texts)
 
     # The member with most links leads next.
+    links = links_of(akin, percent)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    now = labelled(members, links)
+    now = labelled(members, links, "label")
     rank = F.struct(F.coalesce("links", F.lit(0)).alias("links"), "node", "label")
     hubs = now.join(degree, "node", "left").groupBy("bucket").agg(
         F.max(rank).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")
     ).filter("low <> high").select("bucket", "hub")
     second = now.join(hubs, "bucket").filter("label <> hub.label and leader <> hub.node")
-    links = links.union(verified(second.select(F.col("hub.node").alias("leader"), "node").distinct(), texts, percent))
-
-    left = residual_pairs(labelled(members, links), nodes.select("node", "slots"))
-    links = links.union(verified(left, texts, percent))
+    akin = akin.union(verified(second.select(F.col("hub.node").alias("leader"), "node").distinct(), texts))
+
+    # What is left: inside families on the full sets, across families first by signature.
+    links = links_of(akin, percent)
+    families = labelled(labelled(nodes.select("node"), akin.select("a", "b"), "family"), links, "label")
+    families = staged(families, "families")
+    slots = nodes.select("node", "slots")
+    inside = compare_rest(families, "family", slots.join(texts, "node"), _compare_by_sets(percent), "a bigint, b bigint")
+    links = links.union(staged(inside, "links"))
+    placed = members.select("bucket", "node").join(families.select("node", F.col("family").alias("label")), "node")
+    across = compare_rest(placed, "bucket", slots, _compare_by_slots, "leader bigint, node bigint").distinct()
+    links = links.union(links_of(verified(across, texts), percent))
 
     labels = components(links)
     in_sets = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    alone = signed.filter("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    columns = ["doc_id", "text_hash", "n_shingles"]
+    alone = signed.filter("set_key is null").select(*columns, F.col("doc_id").alias("component_id"))
     component = F.when(F.col("label") < NO_ID, F.col("label"))
-    out = in_sets.select("doc_id", "n_shingles", component.alias("component_id")).union(alone)
+    out = in_sets.select(*columns, component.alias("component_id")).union(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -70,12 +70,12 @@ def repeated_words(grams: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(F.array_distinct(grams)) < F.size(grams), covered).otherwise(0)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the base figures, and ``_text``, ``_words`` and ``_lines`` of each row.
+def measured(docs: DataFrame, carry: str = "doc_id") -> DataFrame:
+    """``carry``, the base figures, and ``_text``, ``_words`` and ``_lines`` of each row.
 
     Arrays that are used more than once are columns of their own, so that they are built once.
     """
-    held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
+    held = docs.select(carry, F.coalesce("text", F.lit("")).alias("_text"))
     held = held.withColumns({"_words": words(F.col("_text")), "_lines": F.split("_text", "\n")})
     filled = F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     held = held.withColumns({"_grams": window_hashes(F.col("_words")), "_filled": filled})
@@ -110,8 +110,22 @@ def judge(docs: DataFrame, given: Sequence[Rule] | None = None) -> DataFrame:
     itself, so repeated rows and null ids keep their rows. Other columns are left out. A text
     that fails the base rules is not kept and not asked further rules.
     """
-    cascade = F.when(F.col("base_failed"), False)
-    for rule in ordered_rules(docs, rules() if given is None else given):
-        cascade = cascade.when(rule.rejects, False)
     figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return measured(docs).select("doc_id", *figures, cascade.otherwise(True).alias("kept"))
+    return measured(docs).select("doc_id", *figures, cascade(docs, given).alias("kept"))
+
+
+def cascade(docs: DataFrame, given: Sequence[Rule] | None) -> Column:
+    """The verdict over the columns of ``measured``, its rules ordered on a sample of ``docs``."""
+    verdict = F.when(F.col("base_failed"), False)
+    for rule in ordered_rules(docs, rules() if given is None else given):
+        verdict = verdict.when(rule.rejects, False)
+    return verdict.otherwise(True)
+
+
+def accepted(docs: DataFrame, given: Sequence[Rule] | None = None) -> DataFrame:
+    """``docs``, all columns, without the rows that ``judge`` doesn't keep."""
+    whole = docs.select(F.struct("*").alias("_row"), "text")
+    rows = measured(whole, "_row").select("_row", cascade(docs, given).alias("_kept"), F.monotonically_increasing_id().alias("_place"))
+    # A filter is not pushed below a column that depends on a row's place; pushed down, this one
+    # would evaluate all figures once more for each time that a rule uses them.
+    return rows.filter(F.col("_kept") & (F.col("_place") >= 0)).select("_row.*")

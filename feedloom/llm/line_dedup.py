@@ -165,10 +165,11 @@ def drop_repeated_lines(docs: DataFrame, least_words: int = LEAST_BLOCK_WORDS) -
     lost = repeated_blocks(docs, least_words).select(
         F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), F.col("blocks").alias("_blocks")
     )
-    same = (F.col("doc_id") == F.col("_doc_id")) & (F.xxhash64("text") == F.col("_text_hash"))
-    joined = docs.select(kept).join(lost, same, "left").withColumn("_lines", F.split("text", "\n"))
+    held = docs.select(F.struct(*kept).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_own_hash"))
+    same = (F.col("doc_id") == F.col("_doc_id")) & (F.col("_own_hash") == F.col("_text_hash"))
+    joined = held.join(lost, same, "left").withColumn("_lines", F.split("text", "\n"))
     stays = F.filter("_lines", lambda _, i: ~F.exists("_blocks", lambda b: i.between(b["start"], b["stop"])))
     joined = joined.withColumn("_stays", F.when(F.col("_blocks").isNotNull(), stays))
     text = F.when(F.col("_stays").isNull(), F.col("text")).otherwise(F.array_join("_stays", "\n"))
     deleted = F.coalesce(F.size("_lines") - F.size("_stays"), F.lit(0)).cast("long")
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in kept], deleted.alias("n_deleted_lines"))
+    return joined.select(*[text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in kept], deleted.alias("n_deleted_lines"))

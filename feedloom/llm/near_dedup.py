@@ -40,7 +40,8 @@ LIST_ROWS, BLOCK_ROWS = 100, 256
 LEAST_EQUAL_SLOTS = 88
 #: Like PERCENT, for members of one family.
 KIN_PERCENT = 60
-#: Ids of nodes whose rows all have a null doc_id carry this bit.
+#: A set is named by its smallest doc_id, or, if it has none or another set has that too, by a
+#: hash of its own with this bit.
 NO_ID = 1 << 62
 CHUNK = 256
 
@@ -191,9 +192,9 @@ def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     kept = grouped(docs, percent).filter("kept or component_id is null")
     kept = kept.select(F.col("doc_id").alias("_id"), F.coalesce("text_hash", F.lit(0)).alias("_hash")).distinct()
-    held = docs.withColumn("_text_hash", F.xxhash64("text"))
+    held = docs.select(F.struct("*").alias("_row"), "doc_id", F.xxhash64("text").alias("_text_hash"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    return held.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    return held.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select("_row.*")
 
 
 def grouped(docs: DataFrame, percent: int) -> DataFrame:
@@ -203,7 +204,9 @@ def grouped(docs: DataFrame, percent: int) -> DataFrame:
     whole = signed.filter("set_key is not null")
     fallback = F.shiftrightunsigned(F.xxhash64("set_key"), 2).bitwiseOR(F.lit(NO_ID))
     sets = whole.groupBy("set_key").agg(F.min("doc_id").alias("first_id"))
-    sets = sets.withColumn("node", F.coalesce("first_id", fallback))
+    own_id = sets.groupBy("first_id").agg(F.count("*").alias("n")).filter("first_id is not null and n = 1")
+    sets = sets.join(own_id, "first_id", "left")
+    sets = sets.select("set_key", "first_id", F.when(F.col("n") == 1, F.col("first_id")).otherwise(fallback).alias("node"))
     rows = staged(whole.select("doc_id", "text_hash", "n_shingles", "set_key").join(sets, "set_key").drop("set_key"), "rows")
 
     of_set = (F.col("set_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
@@ -247,8 +250,8 @@ def grouped(docs: DataFrame, percent: int) -> DataFrame:
 
     labels = components(links)
     in_sets = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = in_sets.groupBy("label").agg(F.min("first_id").alias("component_id"))
     columns = ["doc_id", "text_hash", "n_shingles"]
     alone = signed.filter("set_key is null").select(*columns, F.col("doc_id").alias("component_id"))
-    component = F.when(F.col("label") < NO_ID, F.col("label"))
-    out = in_sets.select(*columns, component.alias("component_id")).union(alone)
+    out = in_sets.join(least, "label").select(*columns, "component_id").union(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

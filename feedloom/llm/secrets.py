@@ -24,9 +24,8 @@ from pyspark.sql import types as T
 from feedloom.llm.common import staged
 from feedloom.sources.store import append_batch, read_batches
 
-LEDGER_SCHEMA = T.StructType.fromDDL(
-    "blob string, rule_version string, findings array<struct<start: bigint, rank: int, end: bigint, kind: string>>"
-)
+FINDING = T.StructType().add("start", "long").add("rank", "integer").add("end", "long").add("kind", "string")
+LEDGER_SCHEMA = T.StructType().add("blob", "string").add("rule_version", "string").add("findings", T.ArrayType(FINDING))
 
 
 class Rule(NamedTuple):

@@ -218,8 +218,9 @@ def replace_private(docs: DataFrame, key: str) -> DataFrame:
     of_doc = joined.groupBy("_id", "_hash").agg(
         F.sort_array(F.collect_list(F.struct("_pos", "at", "new", "type"))).alias("_new"), F.count("value").alias("_n")
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    rows = docs.select(kept).join(of_doc, same, "left")
+    held = docs.select(F.struct(*kept).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_own_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))
+    rows = held.join(of_doc, same, "left")
     # A match's parts follow each other; piece, match, piece, ...
     pieces = F.split("text", ANY, -1)
     first = lambda xs, i: (i == 0) | (F.get(xs, F.greatest(i - 1, F.lit(0)))["at"] != xs[i]["at"])
@@ -230,7 +231,7 @@ def replace_private(docs: DataFrame, key: str) -> DataFrame:
     text = F.when(F.col("_new").isNull(), F.col("text")).otherwise(body)
     types = F.array_sort(F.array_distinct(F.filter(F.transform("_new", lambda x: x["type"]), lambda t: t != "title")))
     return rows.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in kept],
+        *[text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in kept],
         F.coalesce("_n", F.lit(0)).cast("long").alias("n_entities"),
         F.coalesce(F.array_join(types, ","), F.lit("")).alias("entity_types"),
     )

@@ -139,12 +139,16 @@ def _compare_by_sets(percent: int):
     def run(asking: pa.Table, answering: pa.Table) -> pa.Table:
         left, right = asking.column("node").to_numpy(), answering.column("node").to_numpy()
         queries, against = ([shingles(t) for t in _texts(x.column("text").combine_chunks())] for x in (asking, answering))
+        sizes = np.array([len(x) for x in against])
         links = []
         for i, at in _near(asking, answering):
-            for k in at:
-                both = _common(queries[i], against[k])
-                if 100 * both >= percent * (len(queries[i]) + len(against[k]) - both):
-                    links.append((int(left[i]), int(right[k])))
+            if len(at):
+                own = queries[i]
+                place = np.searchsorted(own, theirs := np.concatenate([against[k] for k in at]))
+                same = own[np.minimum(place, len(own) - 1)] == theirs
+                both = np.add.reduceat(same, np.concatenate([[0], np.cumsum(sizes[at])[:-1]]), dtype=np.int64)
+                alike = at[100 * both >= percent * (len(own) + sizes[at] - both)]
+                links += [(int(left[i]), int(right[k])) for k in alike]
         return pa.Table.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
     return run
 
@@ -226,16 +230,15 @@ def grouped(docs: DataFrame, percent: int) -> DataFrame:
     first = members.filter("node <> leader").select("leader", "node").distinct()
     akin = verified(first, texts)
 
-    # The member with most links leads next.
+    # The member with most links leads next, where a bucket has members that were not compared.
     links = links_of(akin, percent)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    now = labelled(members, links, "label")
-    rank = F.struct(F.coalesce("links", F.lit(0)).alias("links"), "node", "label")
-    hubs = now.join(degree, "node", "left").groupBy("bucket").agg(
-        F.max(rank).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")
-    ).filter("low <> high").select("bucket", "hub")
-    second = now.join(hubs, "bucket").filter("label <> hub.label and leader <> hub.node")
-    akin = akin.union(verified(second.select(F.col("hub.node").alias("leader"), "node").distinct(), texts))
+    rank = F.struct(F.coalesce("links", F.lit(0)).alias("links"), "node")
+    hubs = members.join(degree, "node", "left").groupBy("bucket").agg(F.max(rank).alias("hub"), F.count("*").alias("n"))
+    hubs = hubs.filter("n > 2").select("bucket", F.col("hub.node").alias("hub"))
+    second = members.join(hubs, "bucket").filter("hub not in (leader, node)").select(F.col("hub").alias("leader"), "node")
+    second = second.distinct().join(first, ["leader", "node"], "left_anti")
+    akin = akin.union(verified(second, texts))
 
     # What is left: inside families on the full sets, across families first by signature.
     links = links_of(akin, percent)

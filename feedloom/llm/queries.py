@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import decontaminate, html_main, line_dedup, near_dedup, packing, quality, secrets, sharding, surrogates, toxicity
+from feedloom.llm import decontaminate, html_main, line_dedup, near_dedup, oracles, packing, quality, secrets, sharding, surrogates, toxicity
 from feedloom.llm.common import table
 from feedloom.sources.store import run_dir
 
@@ -74,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_rendezvous_shards": op10_rendezvous_shards,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_secret_scan": oracles.SECRETS, "op8_quality_cascade": oracles.QUALITY}

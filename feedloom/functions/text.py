@@ -15,6 +15,16 @@ WS_CHARS = (
 # The same set as a pattern; nesting the rare ranges lets common letters fail at once.
 WS_CLASS = r"\s\u00a0[\u1680-\uffff&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]]"
 WS = f"[{WS_CLASS}]"
+# HTML's names of the characters that feeds use most.
+NAMED = (
+    ("&rsquo;", "\u2019"), ("&lsquo;", "\u2018"), ("&rdquo;", "\u201d"), ("&ldquo;", "\u201c"), ("&ndash;", "\u2013"),
+    ("&mdash;", "\u2014"), ("&hellip;", "\u2026"), ("&bull;", "\u2022"), ("&middot;", "\u00b7"), ("&copy;", "\u00a9"),
+    ("&reg;", "\u00ae"), ("&trade;", "\u2122"), ("&euro;", "\u20ac"), ("&pound;", "\u00a3"), ("&deg;", "\u00b0"),
+    ("&laquo;", "\u00ab"), ("&raquo;", "\u00bb"), ("&eacute;", "\u00e9"), ("&egrave;", "\u00e8"), ("&ecirc;", "\u00ea"),
+    ("&agrave;", "\u00e0"), ("&acirc;", "\u00e2"), ("&ccedil;", "\u00e7"), ("&ocirc;", "\u00f4"), ("&ntilde;", "\u00f1"),
+    ("&auml;", "\u00e4"), ("&ouml;", "\u00f6"), ("&uuml;", "\u00fc"), ("&szlig;", "\u00df"), ("&aacute;", "\u00e1"),
+    ("&iacute;", "\u00ed"), ("&oacute;", "\u00f3"), ("&uacute;", "\u00fa"),
+)
 ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
     ("&nbsp;", "\u00a0"), ("&amp;", "&"),
@@ -35,12 +45,12 @@ def collapse_ws(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, f"{WS}+", " "))
 
 
-def _replace_closed(c: Column, pattern: str, end: str) -> Column:
-    """Replace by a space up to the last ``end``. No match can begin after it, and leaving
+def _replace_closed(c: Column, pattern: str, end: str, by: str = " ") -> Column:
+    """Replace up to the last ``end``. No match can begin after it, and leaving
     that part out keeps text with many unclosed openings from taking quadratic time."""
     rest = F.substring_index(c, end, -1)
     closed = F.left(c, F.length(c) - F.length(rest))
-    return F.concat(F.regexp_replace(closed, pattern, " "), rest)
+    return F.concat(F.regexp_replace(closed, pattern, by), rest)
 
 
 def strip_html(c: Column) -> Column:
@@ -85,15 +95,34 @@ def collapsed_excerpt(c: Column, chars: int = EXCERPT_CHARS) -> Column:
     return F.trim(F.when(utf16_length(head) <= chars, head).otherwise(cut))
 
 
+def _code_point(entity: Column) -> Column:
+    """The character of ``&#8217;`` or ``&#x2019;``; what names no character stays as it is."""
+    hexed = F.regexp_extract(entity, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)
+    plain = F.regexp_extract(entity, r"^&#([0-9]{1,7});$", 1)
+    code = F.when(hexed != "", F.conv(hexed, 16, 10)).when(plain != "", plain).cast("int")
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")).otherwise(entity)
+
+
+def _decode_numbers(c: Column) -> Column:
+    """Numeric entities: the text is cut at them, and each is put back as its character."""
+    entity = r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+    found = F.transform(F.regexp_extract_all(c, F.lit(entity), F.lit(0)), _code_point)
+    joined = F.zip_with(F.split(c, entity, -1), found, lambda piece, char: F.concat(piece, F.coalesce(char, F.lit(""))))
+    return F.when(c.contains("&#"), F.array_join(joined, "")).otherwise(c)
+
+
 def decode_entities(c: Column) -> Column:
-    for entity, char in ENTITIES:
+    """Named and numeric entities in any text; ``&amp;`` last, so that nothing is decoded twice."""
+    c = _decode_numbers(c)
+    for entity, char in (*NAMED, *ENTITIES):
         c = F.replace(c, F.lit(entity), F.lit(char))
     return c
 
 
 def snippet(c: Column) -> Column:
     """Plain-text form of a feed body: tags removed, entities decoded, trimmed."""
-    return ws_trim(decode_entities(F.regexp_replace(c, "<[^>]*>", "")))
+    return ws_trim(decode_entities(_replace_closed(c, "<[^>]*>", ">", "")))
 
 
 def slugify(c: Column) -> Column:

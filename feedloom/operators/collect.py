@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.checks import is_url
 from feedloom.functions.text import blank_to_null, is_filled, utf16_length
-from feedloom.operators.joins import dimension_join, fits_broadcast, hot_keys, lookup_join
+from feedloom.operators.joins import dimension_join, hot_keys, lookup_join
 from feedloom.schemas import FULL_CONTENT_CHARS
 from feedloom.sources.feeds import PARSE_ERROR
 from feedloom.sources.pages import Extractor, extract_pages, latest_per_url
@@ -78,17 +78,14 @@ def can_fetch() -> Column:
     return F.col("needs_page") & F.coalesce(is_url(F.col("url")), F.lit(False))
 
 
-def wanted_pages(items: DataFrame, planned: DataFrame, pages: DataFrame) -> DataFrame:
+def wanted_pages(planned: DataFrame, pages: DataFrame) -> DataFrame:
     """Leave pages out that no item needs, before they are extracted.
 
-    A run over few items must not extract a crawl of all times: the addresses are broadcast
-    if the run's items are few (counting stops at the limit and reads no texts). A large
-    run needs most pages anyway and skips this; the join later decides.
+    A run must not extract a crawl of all times for the items of today. The join has no
+    hint: few addresses are broadcast by their size, many are shuffled.
     """
-    if not fits_broadcast(items.select("url")):
-        return pages
     addresses = planned.filter(can_fetch()).select("url").distinct()
-    return pages.join(F.broadcast(addresses), "url", "left_semi")
+    return pages.join(addresses, "url", "left_semi")
 
 
 def attach_pages(planned: DataFrame, fetched: DataFrame, hot: DataFrame | None = None) -> DataFrame:
@@ -166,7 +163,7 @@ def merge_articles(
 ) -> DataFrame:
     """Items, sources and crawled pages to merged article inputs (one row per item)."""
     planned = plan_fetch(join_sources(items, sources), analyzer)
-    fetched = latest_per_url(extractor(wanted_pages(items, planned, pages)), page_order, MERGED_FIELDS)
+    fetched = latest_per_url(extractor(wanted_pages(planned, pages)), page_order, MERGED_FIELDS)
     # Counting the item table's URL column alone is cheaper than counting planned rows.
     return merge_items(attach_pages(planned, fetched, hot_keys(items, "url")), merger)
 

@@ -18,7 +18,7 @@ def mark_duplicates(articles: DataFrame, key: Column, order: str) -> DataFrame:
     """Rows with ``original_id``, the ``order``-smallest row of equal key, and ``copies``.
 
     Groups are reduced to one row each before anything is joined back, and groups large
-    enough to matter are joined by broadcast.
+    enough to matter are joined by broadcast. A row without a key is an original of its own.
     """
     keyed = articles.withColumn("_key", key)
     groups = keyed.groupBy("_key").agg(
@@ -29,8 +29,8 @@ def mark_duplicates(articles: DataFrame, key: Column, order: str) -> DataFrame:
     joined = lookup_join(keyed, groups, "_key", F.col(order), hot)
     return joined.select(
         *articles.columns,
-        F.col("hit.original_id").alias("original_id"),
-        F.col("hit.copies").alias("copies"),
+        F.coalesce("hit.original_id", order).alias("original_id"),
+        F.coalesce("hit.copies", F.lit(1).cast("long")).alias("copies"),
     )
 
 

@@ -178,7 +178,7 @@ def replay(
     very many commands per second. Keys are filtered once and the steps down are left joins
     that always match: filters that joins add on their own would differ per level, and then
     the log would be read and shuffled once per level instead of once. Commands without
-    article or time are left out.
+    article or time change nothing and come out with an error.
     """
     def stored(part: Column) -> Column:
         return part["map"]
@@ -212,7 +212,7 @@ def replay(
     named = rows.withColumn("status_before", before)
     status, command = F.col("status_before"), F.col("command")
     missing = F.format_string("Article with id '%s' not found", "article_id")
-    return named.select(
+    done = named.select(
         "seq",
         "article_id",
         "command",
@@ -221,6 +221,12 @@ def replay(
         F.when(status.isNotNull(), next_status(status, command)).alias("status_after"),
         F.when(status.isNull(), missing).otherwise(refusal(status, command)).alias("error"),
     )
+    no_text = F.lit(None).cast("string")
+    refused = commands.filter(F.col("article_id").isNull() | F.col("ts").isNull()).select(
+        "seq", "article_id", "command", "ts", no_text.alias("status_before"), no_text.alias("status_after"),
+        F.when(F.col("article_id").isNull(), "Command without an article").otherwise("Command without a time").alias("error"),
+    )
+    return done.unionByName(refused)
 
 
 def final_statuses(articles: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.operators.joins import MAX_WIDE_BROADCAST_ROWS, probe_join
-from feedloom.schemas import DEFAULT_PAGE_LIMIT, MAX_PAGE_LIMIT
+from feedloom.schemas import DEFAULT_PAGE_LIMIT
 
 ORDER_COLUMNS = {"createdAt": "created_at", "publishedAt": "published_at", "title": "slug"}
 
@@ -126,13 +126,10 @@ def find_ids(table: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
     return joined.select(key, *rest, F.col("hit").isNotNull().alias("found"))
 
 
-def page_details(page_rows: DataFrame, table: DataFrame, key: str = "id", max_rows: int = MAX_PAGE_LIMIT) -> DataFrame:
-    """Wide rows of one page. Its few keys become a pushed-down filter, so files or row
-    groups without them are skipped, which sorting whole wide rows could never do."""
-    keys = [r[0] for r in page_rows.select(key).limit(max_rows + 1).collect()]
-    if len(keys) > max_rows:
-        raise ValueError(f"a page has at most {max_rows} rows")
-    return table.filter(F.col(key).isin(keys))
+def page_details(page_rows: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
+    """Wide rows of one page of any length: a semi join with its keys, so that the wide rows
+    themselves are never sorted."""
+    return table.join(page_rows.select(key).distinct(), key, "left_semi")
 
 
 def find_by_slug(articles: DataFrame, slug: str) -> DataFrame:
@@ -144,8 +141,10 @@ def find_by_slug(articles: DataFrame, slug: str) -> DataFrame:
 
 def first_per_slug(articles: DataFrame) -> DataFrame:
     """Earliest article of every slug; slugs are not unique."""
-    first = F.min_by(F.struct(*articles.columns), F.struct("created_at", "id"))
-    return articles.groupBy("slug").agg(first.alias("_a")).select("_a.*")
+    keys = articles.select("slug", "created_at", "id")
+    first = keys.groupBy("slug").agg(F.min(F.struct("created_at", "id")).alias("_a")).select("slug", "_a.id")
+    mine = articles["slug"].eqNullSafe(first["slug"]) & (articles["id"] == first["id"])
+    return articles.join(first, mine, "left_semi")
 
 
 def first_elements(c: Column, n: int = 5) -> Column:

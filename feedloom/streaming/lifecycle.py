@@ -33,6 +33,14 @@ def current_statuses(articles: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
+def statuses_before(articles: DataFrame, ids: DataFrame, log: str, epoch: int) -> DataFrame:
+    """``current_statuses`` of the articles ``ids`` (id) as they were before a batch."""
+    schema = articles.sparkSession.createDataFrame([], STATUS_SCHEMA).schema
+    changes = read_batches(articles.sparkSession, log, schema, before=epoch)
+    table = articles.select("id", "status", "published_at")
+    return current_statuses(probe(table, ids, "id"), probe(changes, ids, "id"))
+
+
 def run_lifecycle(
     commands: DataFrame, articles: Callable[[], DataFrame], outcomes: str, statuses: str, checkpoint: str
 ) -> StreamingQuery:
@@ -42,10 +50,7 @@ def run_lifecycle(
     def process(batch: DataFrame, epoch: int) -> None:
         batch.persist()
         ids = batch.select(F.col("article_id").alias("id")).distinct()
-        schema = batch.sparkSession.createDataFrame([], STATUS_SCHEMA).schema
-        changes = read_batches(batch.sparkSession, statuses, schema, before=epoch)
-        table = articles().select("id", "status", "published_at")
-        base = current_statuses(probe(table, ids, "id"), probe(changes, ids, "id")).persist()
+        base = statuses_before(articles(), ids, statuses, epoch).persist()
         path = append_batch(replay(base, batch), outcomes, epoch)
         done = batch.sparkSession.read.parquet(path)
         ends = final_statuses(base, done)

@@ -89,14 +89,12 @@ def test_failed_fetch_falls_back_and_pages_do_not_multiply_items(spark, sources)
     assert merged[0].language == "en" and merged[0].tags == []
 
 
-def test_only_wanted_pages_reach_the_extractor(spark, sources, monkeypatch):
+def test_only_wanted_pages_reach_the_extractor(spark, sources):
     rows = [item(1, url="https://p/1"), item(2, "only", url="https://p/2"), item(3, url="nope")]
     items = spark.createDataFrame(rows, ITEM)
     planned = co.plan_fetch(co.join_sources(items, sources))
     crawl = pages(spark, [(f"https://p/{i}", "<body>") for i in range(5)])
-    assert [r.url for r in co.wanted_pages(items, planned, crawl).collect()] == ["https://p/1"]
-    monkeypatch.setattr(co, "fits_broadcast", lambda df: False)
-    assert co.wanted_pages(items, planned, crawl).count() == 5
+    assert [r.url for r in co.wanted_pages(planned, crawl).collect()] == ["https://p/1"]
 
 
 def test_plugged_in_analyzer_and_merger(spark, sources):

@@ -99,3 +99,12 @@ def test_json_fallback_and_message_bodies(values):
     assert parsed == [1, -1, None]
     assert values(jsontext.message_article_id, ['{"articleId":"art_1"}', "art_2"]) == ["art_1", "art_2"]
     assert values(jsontext.article_message, ["art_1"]) == ['{"articleId":"art_1"}']
+
+
+def test_numeric_and_named_entities(values):
+    texts = ["It&#8217;s caf&eacute; &#x1F600;!", "&#0; &#xD800; &#1114112; &#;", "a &amp;#65; b", "plain", None, "&ldquo;x&rdquo;"]
+    assert values(tx.decode_entities, texts) == ["It’s café 😀!", "&#0; &#xD800; &#1114112; &#;", "a &#65; b", "plain", None, "“x”"]
+
+
+def test_snippet_of_many_open_tags(values):
+    assert values(tx.snippet, ["<" * 100_000, "<p>a</p> <b"]) == ["<" * 100_000, "a <b"]

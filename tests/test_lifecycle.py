@@ -83,3 +83,12 @@ def test_commands_with_status(spark):
     articles = spark.createDataFrame([("a", "RAW")], "id string, status string")
     commands = spark.createDataFrame([(1, "a"), (2, "x")], "seq long, article_id string")
     assert sorted((r.seq, r.status) for r in li.commands_with_status(articles, commands).collect()) == [(1, "RAW"), (2, None)]
+
+
+def test_commands_without_article_or_time_are_refused(spark):
+    at = datetime(2026, 1, 1)
+    table = spark.createDataFrame([("a", "APPROVED")], "id string, status string")
+    rows = [(1, "a", "publish", at), (2, None, "publish", at), (3, "a", "archive", None)]
+    out = li.replay(table, spark.createDataFrame(rows, "seq long, article_id string, command string, ts timestamp")).collect()
+    assert {r.seq: (r.status_after, r.error) for r in out} == {
+        1: ("PUBLISHED", None), 2: (None, "Command without an article"), 3: (None, "Command without a time")}

@@ -118,3 +118,16 @@ def test_due_sources(spark):
                                     "source_id string, status string, priority int, fetch_interval int")
     fetched = spark.createDataFrame([("b", DAY - timedelta(hours=1)), ("c", DAY - timedelta(hours=1))], "source_id string, last_fetch timestamp")
     assert [r.source_id for r in sc.due_sources(sources, fetched, F.lit(DAY)).collect()] == ["b", "a"]
+
+
+def test_an_event_that_comes_again_publishes_nothing(spark, tmp_path):
+    inbox, out, state = (str(tmp_path / n) for n in ("inbox", "out", "state"))
+    events = spark.createDataFrame([("ArticleApproved", '{"articleId":"b"}', DAY)], "detail_type string, detail string, ts timestamp")
+    table = articles(spark).withColumn("published_at", F.lit(None).cast("timestamp"))
+    for k in range(2):
+        append_batch(events, inbox, k)
+        stream = spark.readStream.schema(events.schema).parquet(inbox)
+        pb.run_publish(stream, lambda: table, out, state, F.lit(DAY)).awaitTermination()
+    rows = spark.read.parquet(out).orderBy("batch").collect()
+    assert [(r.article_id, r.status, r.new_status) for r in rows] == [("b", "APPROVED", "PUBLISHED"), ("b", "PUBLISHED", "PUBLISHED")]
+    assert [r.error is None for r in rows] == [True, False]

@@ -101,7 +101,7 @@ def _code_point(entity: Column) -> Column:
     plain = F.regexp_extract(entity, r"^&#([0-9]{1,7});$", 1)
     code = F.when(hexed != "", F.conv(hexed, 16, 10)).when(plain != "", plain).cast("int")
     valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")).otherwise(entity)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(entity)
 
 
 def _decode_numbers(c: Column) -> Column:

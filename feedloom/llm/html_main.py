@@ -59,13 +59,14 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("aside", "children", "digest", "names", "tag", "words", "linked")
+    __slots__ = ("aside", "children", "digest", "in_prose", "linked", "names", "tag", "words")
 
     def __init__(self, tag: str, attributes: str) -> None:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
         self.tag, self.names = tag, f"{found.get('class', '')} {found.get('id', '')}".strip().lower()
         self.children: list[Node | str] = []
         self.digest = self.words = self.linked = 0
+        self.in_prose = False  # an inline element beside text: a word of a sentence, never template
         named = set(WORD_OF_NAME.findall(self.names))
         content = tag in ("article", "main") or "articlebody" in found.get("itemprop", "").lower()
         self.aside = tag in NOT_TEXT or "hidden" in found or found.get("role", "").lower() in ROLES or (
@@ -168,12 +169,14 @@ def _measure(root: Node) -> None:
     """Hash and word counts of every subtree, leaves first, without recursion."""
     for node in reversed(_in_order(root)):
         parts = [node.tag, node.names]
+        prose = any(isinstance(child, str) and child.strip() for child in node.children)
         for child in node.children:
             if isinstance(child, str):
                 words = child.split()
                 node.words += len(words)
                 parts.append(" ".join(words))
             else:
+                child.in_prose = prose and child.tag not in BLOCK
                 node.words += child.words
                 node.linked += child.linked
                 parts.append(str(child.digest))
@@ -203,7 +206,7 @@ def template_candidates(root: Node) -> set[int]:
     for node, within in todo:
         within = within or node is inside
         holds = node is root or node is inside
-        if not holds and node.words and (not within or node.linked * 2 > node.words):
+        if not holds and not node.in_prose and node.words and (not within or node.linked * 2 > node.words):
             out.add(node.digest)
         todo += [(child, within) for child in node.children if isinstance(child, Node)]
     return out
@@ -232,7 +235,7 @@ def main_text(root: Node, template: set[int]) -> str:
             inline.append(node)
         elif node is not start and (
             node.aside or (node.tag == "header" and not within)
-            or (node.digest in template and (not within or node.linked * 2 > node.words))
+            or (node.digest in template and not node.in_prose and (not within or node.linked * 2 > node.words))
         ):
             inline.append(" ")
         else:

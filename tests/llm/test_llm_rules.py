@@ -20,7 +20,8 @@ from feedloom.llm import (
 from feedloom.sources.store import run_dir
 
 SMALL = Path("/root/testdata/sf0.001")
-TOXIC = Path("/root/testdata/sf0.01")
+#: Held-out accuracy needs a few hundred toxic labels to learn from; sf0.01 has thirty.
+TOXIC = Path("/root/testdata/sf0.1")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 given = pytest.mark.skipif(not SMALL.exists(), reason="test tables are not mounted")
 
@@ -390,7 +391,7 @@ def test_toxicity_on_held_out_labels(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7)
     own = [(r.score, marks[r.doc_id]) for r in rows if r.held_out and r.doc_id in marks]
     bad, good = ([s for s, m in own if m == k] for k in (1, 0))
-    assert sum((b > g) + (b == g) / 2 for b in bad for g in good) / (len(bad) * len(good)) > 0.8
+    assert sum((b > g) + (b == g) / 2 for b in bad for g in good) / (len(bad) * len(good)) > 0.95
 
 
 # Shards

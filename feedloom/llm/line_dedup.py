@@ -44,6 +44,8 @@ def overlapping(seqs: DataFrame) -> DataFrame:
     shared = lines.groupBy("hash").agg(
         F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last"), F.count("*").alias("holders")
     ).filter("earlier < last")
+    # Read from a table, the join has no aggregate below it, and a very common line can be split.
+    shared = staged(shared, "shared-lines")
     held = lines.join(shared.drop("last"), "hash").filter("doc_id > earlier")
     rare = held.filter(F.col("holders") <= RARE_HOLDERS)
     others = rare.select("hash", F.col("doc_id").alias("earlier")).distinct()

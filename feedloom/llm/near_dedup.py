@@ -169,6 +169,7 @@ def compare_rest(members: DataFrame, group: str, more: DataFrame, function, sche
     open_groups = sizes.groupBy(group).agg(
         F.sum("k").alias("n"), F.count("*").alias("labels"), F.max_by("label", "k").alias("largest")
     ).filter("labels > 1 and n > 2").withColumn("blocks", F.floor(F.col("n") / BLOCK_ROWS) + 1)
+    open_groups = staged(open_groups, "open-groups")
     rows = members.join(open_groups.select(group, "blocks", "largest"), group).join(more, "node")
     answering = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     asking = rows.filter("label <> largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -211,6 +212,8 @@ def grouped(docs: DataFrame, percent: int) -> DataFrame:
     own_id = sets.groupBy("first_id").agg(F.count("*").alias("n")).filter("first_id is not null and n = 1")
     sets = sets.join(own_id, "first_id", "left")
     sets = sets.select("set_key", "first_id", F.when(F.col("n") == 1, F.col("first_id")).otherwise(fallback).alias("node"))
+    # Read from a table, it has no aggregate below its joins, and a large group of copies can be split.
+    sets = staged(sets, "sets")
     rows = staged(whole.select("doc_id", "text_hash", "n_shingles", "set_key").join(sets, "set_key").drop("set_key"), "rows")
 
     of_set = (F.col("set_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("first_id"))

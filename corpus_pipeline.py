@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from feedloom.llm import decontaminate, line_dedup, near_dedup, packing, quality
 from feedloom.llm.common import staged, table
 
+#: Stages on word shingles take five words and this least similarity.
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a quality rule rejects go."""
@@ -29,7 +32,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return near_dedup.representatives(docs).select(docs.columns)
+    return near_dedup.representatives(docs, NEAR_PERCENT).select(docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,12 +12,14 @@
 4. Every pair is confirmed on the full sets before it counts as a link; connected components
    of the links are the groups.
 
-A pair with similarity s shares a bucket with probability 1 - (1 - s^5)^25: at least
-0.9999995 from 0.85 on.
+A pair with similarity s shares a bucket with probability 1 - (1 - s^r)^b, for b bands of r
+slots; ``band_rows`` takes the longest bands that miss one pair in a million at most at the
+least similarity that counts: 25 of 5 for 0.85, 31 of 4 for 0.80.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,14 +32,16 @@ from feedloom.llm.common import staged
 from feedloom.llm.components import components
 from feedloom.llm.shingles import band_hashes, shingles, signatures
 
-BANDS, BAND_ROWS = 25, 5
+SLOTS = 125
+#: Pairs at the least similarity that may share no bucket.
+MISSED = 1e-6
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Members of a leader's list, or of a block of a bucket, that are compared in one piece.
 LIST_ROWS, BLOCK_ROWS = 100, 256
-#: Equal slots, of 125, below which a pair is not verified: 4.5 standard deviations of plain
-#: MinHash, more of SuperMinHash, under the mean for the least similarity that counts.
-LEAST_EQUAL_SLOTS = 88
+#: Standard deviations of plain MinHash (more of SuperMinHash) under the mean of equal slots at
+#: the least similarity that counts, below which a pair is not verified.
+DEVIATIONS = 4.5
 #: Like PERCENT, for members of one family.
 KIN_PERCENT = 60
 #: A set is named by its smallest doc_id, or, if it has none or another set has that too, by a
@@ -46,6 +50,18 @@ NO_ID = 1 << 62
 CHUNK = 256
 
 
+def band_rows(percent: int) -> int:
+    """Slots in a band."""
+    s = percent / 100
+    return max(r for r in range(1, SLOTS + 1) if r == 1 or (1 - s**r) ** (SLOTS // r) <= MISSED)
+
+
+def least_equal_slots(percent: int) -> int:
+    """Equal slots below which a pair is not verified."""
+    s = percent / 100
+    return math.floor(SLOTS * s - DEVIATIONS * math.sqrt(SLOTS * s * (1 - s)))
+
+
 def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, CHUNK):
@@ -56,19 +72,23 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _chunks(batches):
-        sets = [shingles(text) for text in _texts(batch.column("text"))]
-        least = signatures(sets, BANDS * BAND_ROWS)
-        short = (least & np.uint64(0xFFFF)).astype(np.uint16)
-        yield pa.RecordBatch.from_pydict({
-            "doc_id": batch.column("doc_id"),
-            "text_hash": batch.column("text_hash"),
-            "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-            "set_key": pa.array([xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets], pa.string()),
-            "bands": pa.array(list(band_hashes(least, BANDS)), pa.list_(pa.int64())),
-            "slots": pa.array([row.tobytes() for row in short], pa.binary()),
-        })
+def _sign(rows: int):
+    bands = SLOTS // rows
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _chunks(batches):
+            sets = [shingles(text) for text in _texts(batch.column("text"))]
+            least = signatures(sets, SLOTS)
+            short = (least & np.uint64(0xFFFF)).astype(np.uint16)
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"),
+                "text_hash": batch.column("text_hash"),
+                "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                "set_key": pa.array([xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets], pa.string()),
+                "bands": pa.array(list(band_hashes(least[:, :bands * rows], bands)), pa.list_(pa.int64())),
+                "slots": pa.array([row.tobytes() for row in short], pa.binary()),
+            })
+    return run
 
 
 SIGNED = "doc_id bigint, text_hash bigint, n_shingles bigint, set_key string, bands array<bigint>, slots binary"
@@ -119,29 +139,35 @@ def links_of(akin: DataFrame, percent: int) -> DataFrame:
     return akin.filter(100 * F.col("both") >= percent * F.col("of")).select("a", "b")
 
 
-def _near(asking: pa.Table, answering: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+def _near(asking: pa.Table, answering: pa.Table, least: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each asking row with the places of the answering ones of another label whose slots agree enough."""
     queries, against = (np.frombuffer(b"".join(t.column("slots").to_pylist()), np.uint16).reshape(t.num_rows, -1) for t in (asking, answering))
     labels, own = answering.column("label").to_numpy(), asking.column("label").to_numpy()
     for i, row in enumerate(queries):
-        near = ((against == row).sum(axis=1) >= LEAST_EQUAL_SLOTS) & (labels != own[i])
+        near = ((against == row).sum(axis=1) >= least) & (labels != own[i])
         yield i, np.flatnonzero(near)
 
 
-def _compare_by_slots(asking: pa.Table, answering: pa.Table) -> pa.Table:
-    left, right = asking.column("node").to_numpy(), answering.column("node").to_numpy()
-    pairs = [(int(left[i]), int(x)) for i, at in _near(asking, answering) for x in right[at]]
-    columns = ([max(p) for p in pairs], [min(p) for p in pairs])
-    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], ["leader", "node"])
+def _compare_by_slots(percent: int):
+    least = least_equal_slots(percent)
+
+    def run(asking: pa.Table, answering: pa.Table) -> pa.Table:
+        left, right = asking.column("node").to_numpy(), answering.column("node").to_numpy()
+        pairs = [(int(left[i]), int(x)) for i, at in _near(asking, answering, least) for x in right[at]]
+        columns = ([max(p) for p in pairs], [min(p) for p in pairs])
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], ["leader", "node"])
+    return run
 
 
 def _compare_by_sets(percent: int):
+    least = least_equal_slots(percent)
+
     def run(asking: pa.Table, answering: pa.Table) -> pa.Table:
         left, right = asking.column("node").to_numpy(), answering.column("node").to_numpy()
         queries, against = ([shingles(t) for t in _texts(x.column("text").combine_chunks())] for x in (asking, answering))
         sizes = np.array([len(x) for x in against])
         links = []
-        for i, at in _near(asking, answering):
+        for i, at in _near(asking, answering, least):
             if len(at):
                 own = queries[i]
                 place = np.searchsorted(own, theirs := np.concatenate([against[k] for k in at]))
@@ -205,7 +231,7 @@ def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def grouped(docs: DataFrame, percent: int) -> DataFrame:
     """``groups`` with each row's ``text_hash``."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    signed = staged(docs.mapInArrow(_sign, SIGNED), "signed")
+    signed = staged(docs.mapInArrow(_sign(band_rows(percent)), SIGNED), "signed")
     whole = signed.filter("set_key is not null")
     fallback = F.shiftrightunsigned(F.xxhash64("set_key"), 2).bitwiseOR(F.lit(NO_ID))
     sets = whole.groupBy("set_key").agg(F.min("doc_id").alias("first_id"))
@@ -251,7 +277,7 @@ def grouped(docs: DataFrame, percent: int) -> DataFrame:
     inside = compare_rest(families, "family", slots.join(texts, "node"), _compare_by_sets(percent), "a bigint, b bigint")
     links = links.union(staged(inside, "links"))
     placed = members.select("bucket", "node").join(families.select("node", F.col("family").alias("label")), "node")
-    across = compare_rest(placed, "bucket", slots, _compare_by_slots, "leader bigint, node bigint").distinct()
+    across = compare_rest(placed, "bucket", slots, _compare_by_slots(percent), "leader bigint, node bigint").distinct()
     links = links.union(links_of(verified(across, texts), percent))
 
     labels = components(links)

@@ -8,7 +8,8 @@
 3. What is left is compared in blocks, so that no link between different texts is lost and no
    pair is emitted only for sharing a bucket. Nodes that the comparisons so far found akin
    form families: in each, the nodes outside its largest connected part are compared with all,
-   on the full sets. Nodes of different families in one bucket are compared by signature.
+   first by signature, then on the full sets. Nodes of different families in one bucket are
+   compared by signature. Both sides of a comparison are cut into blocks.
 4. Every pair is confirmed on the full sets before it counts as a link; connected components
    of the links are the groups.
 
@@ -159,6 +160,22 @@ def _compare_by_slots(percent: int):
     return run
 
 
+def _near_rows(percent: int):
+    least = least_equal_slots(percent)
+
+    def run(asking: pa.Table, answering: pa.Table) -> pa.Table:
+        """The rows of either side that agree enough with one of the other."""
+        wanted, answers = [], np.zeros(answering.num_rows, bool)
+        for i, at in _near(asking, answering, least):
+            if len(at):
+                wanted.append(i)
+                answers[at] = True
+        sides = (asking.take(pa.array(wanted, pa.int64())), True), (answering.filter(pa.array(answers)), False)
+        columns = ["family", "i", "j", "node", "label", "slots"]
+        return pa.concat_tables([t.select(columns).append_column("asks", pa.array([x] * t.num_rows, pa.bool_())) for t, x in sides])
+    return run
+
+
 def _compare_by_sets(percent: int):
     least = least_equal_slots(percent)
 
@@ -185,23 +202,48 @@ def labelled(members: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return members.join(labels, "node", "left").withColumn(name, F.coalesce("_label", "node")).drop("_label")
 
 
-def compare_rest(members: DataFrame, group: str, more: DataFrame, function, schema: str) -> DataFrame:
-    """Compare, in each group of more than one label, the rows outside the largest label with all.
+def cells(members: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """The couples of blocks to compare: (group, i, j, node, label), rows of block i and of block j.
 
-    ``members``: (group, node, label); ``more`` has what ``function`` needs by node. Groups are
-    cut into blocks of about ``BLOCK_ROWS``; the rows that ask go to every block of their group.
+    In each group of more than one label, the rows outside the largest label ask: they are
+    compared with each other and with the rest. Both kinds are cut into blocks of about
+    ``BLOCK_ROWS`` rows, numbered along, those that ask first, and each couple of blocks is one
+    cell, so a cell has two blocks at most however large its group is.
     """
     sizes = members.groupBy(group, "label").agg(F.count("*").alias("k"))
     open_groups = sizes.groupBy(group).agg(
-        F.sum("k").alias("n"), F.count("*").alias("labels"), F.max_by("label", "k").alias("largest")
-    ).filter("labels > 1 and n > 2").withColumn("blocks", F.floor(F.col("n") / BLOCK_ROWS) + 1)
-    open_groups = staged(open_groups, "open-groups")
-    rows = members.join(open_groups.select(group, "blocks", "largest"), group).join(more, "node")
-    answering = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    asking = rows.filter("label <> largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asking = asking.select(*[F.col(c).alias(c) for c in asking.columns])  # columns of its own, for the cogroup
-    key = [group, "block"]
-    return asking.groupBy(*key).cogroup(answering.groupBy(*key)).applyInArrow(function, schema)
+        F.sum("k").alias("n"), F.count("*").alias("labels"), F.max("k").alias("most"), F.max_by("label", F.struct("k", "label")).alias("largest")
+    ).filter("labels > 1 and n > 2")
+    blocks = lambda rows: (F.floor(rows / BLOCK_ROWS) + 1).cast("int")
+    open_groups = open_groups.select(group, "largest", blocks(F.col("n") - F.col("most")).alias("asking"), blocks(F.col("most")).alias("rest"))
+    rows = members.join(staged(open_groups, "open-groups"), group)
+    asks, place = F.col("label") != F.col("largest"), F.xxhash64("node")
+    block = F.when(asks, F.pmod(place, F.col("asking"))).otherwise(F.col("asking") + F.pmod(place, F.col("rest"))).cast("int")
+    rows = rows.withColumn("block", block)
+    out = [group, "i", "j", "node", "label"]
+    left = rows.filter(asks).withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("asking") + F.col("rest") - 1)))
+    right = rows.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.least(F.col("block"), F.col("asking") - 1))))
+    return left.select(*out), right.select(*out)
+
+
+def compare_cells(sides: tuple[DataFrame, DataFrame], group: str, more: DataFrame, function, schema: str) -> DataFrame:
+    """``function`` on the two sides of each cell; ``more`` has what it needs by node."""
+    key = [group, "i", "j"]
+    left, right = (side.join(more, "node") for side in sides)
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])  # columns of its own, for the cogroup
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(function, schema)
+
+
+def compare_in_families(families: DataFrame, slots: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside families. Cells get the slots of all their rows; texts are fetched
+    only for the rows that are near to another one of their cell."""
+    found = compare_cells(
+        cells(families, "family"), "family", slots, _near_rows(percent),
+        "family bigint, i int, j int, node bigint, label bigint, slots binary, asks boolean",
+    )
+    found = staged(found, "near-rows")
+    sides = tuple(found.filter(side).drop("asks") for side in ("asks", "not asks"))
+    return compare_cells(sides, "family", texts, _compare_by_sets(percent), "a bigint, b bigint")
 
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -274,10 +316,10 @@ def grouped(docs: DataFrame, percent: int) -> DataFrame:
     families = labelled(labelled(nodes.select("node"), akin.select("a", "b"), "family"), links, "label")
     families = staged(families, "families")
     slots = nodes.select("node", "slots")
-    inside = compare_rest(families, "family", slots.join(texts, "node"), _compare_by_sets(percent), "a bigint, b bigint")
+    inside = compare_in_families(families, slots, texts, percent)
     links = links.union(staged(inside, "links"))
     placed = members.select("bucket", "node").join(families.select("node", F.col("family").alias("label")), "node")
-    across = compare_rest(placed, "bucket", slots, _compare_by_slots(percent), "leader bigint, node bigint").distinct()
+    across = compare_cells(cells(placed, "bucket"), "bucket", slots, _compare_by_slots(percent), "leader bigint, node bigint").distinct()
     links = links.union(links_of(verified(across, texts), percent))
 
     labels = components(links)

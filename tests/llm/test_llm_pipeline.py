@@ -2,12 +2,13 @@
 
 import itertools
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
 from feedloom.llm import line_dedup, near_dedup
-from test_llm_rules import SMALL, WORD, brute_quality, given, grams
+from test_llm_rules import SMALL, WORD, brute_groups, brute_quality, given, grams
 
 
 def brute_accepted(text):
@@ -123,3 +124,34 @@ def test_bands_and_slots_follow_the_percentage():
         assert (1 - s**rows) ** (near_dedup.SLOTS // rows) <= near_dedup.MISSED
         sd = math.sqrt(near_dedup.SLOTS * s * (1 - s))
         assert near_dedup.SLOTS * s - near_dedup.least_equal_slots(percent) >= near_dedup.DEVIATIONS * sd
+
+
+def test_cells_are_small_on_both_sides(spark):
+    """A family of which nearly all rows ask is cut on both sides, and no couple of rows is lost."""
+    n = 1000
+    rows = [(1, i, i) for i in range(n)] + [(2, n + i, n + min(i, 9)) for i in range(300)] + [(3, -1, -1)]
+    members = spark.createDataFrame(rows, "family bigint, node bigint, label bigint")
+    left, right = ([(r.family, r.i, r.j, r.node) for r in side.collect()] for side in near_dedup.cells(members, "family"))
+    sides = defaultdict(lambda: ([], []))
+    for k, side in enumerate((left, right)):
+        for family, i, j, node in side:
+            sides[family, i, j][k].append(node)
+    assert max(len(side) for both in sides.values() for side in both) < 1.5 * near_dedup.BLOCK_ROWS
+    label = {node: (family, x) for family, node, x in rows}
+    met = {frozenset((a, b)) for asking, answering in sides.values() for a in asking for b in answering if label[a] != label[b]}
+    wanted = {frozenset((a, b)) for a, b in itertools.combinations(label, 2) if label[a][0] == label[b][0] and label[a] != label[b]}
+    assert met == wanted
+
+
+def test_family_of_several_blocks(spark):
+    """Edits of one text that are akin but mostly not linked, over several blocks on both sides."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = {}
+    for i in range(900):
+        words = list(base)
+        for k in rng.sample(range(120), 3):
+            words[k] = f"v{rng.randrange(25)}"
+        texts[i] = " ".join(words)
+    got = near_dedup.groups(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_groups(texts)

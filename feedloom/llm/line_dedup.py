@@ -1,9 +1,11 @@
 """Line duplicates across documents, by pairwise patience alignment.
 
-1. Every line gets a hash. A line of some words that stands in several documents proposes
-   pairs: each later document with the line's first document, whatever the number of holders,
-   and, while the line is rare, with every earlier holder too. A very common line so makes one
-   pair for each of its documents, not one for each two of them.
+1. Every line gets a hash, and so do runs of lines: from each line the shortest run on, and
+   back, that has enough words to be deleted. Every line of a block that two documents share
+   is in such a run of the block. A run that stands in several documents proposes pairs: each
+   later document with the run's first document, whatever the number of holders, and, while
+   the run is rare, with every earlier holder too. A very common run so makes one pair for each
+   of its documents, not one for each two of them.
 2. The two documents of a pair are aligned by patience diff on their line hashes.
 3. A run of aligned lines with enough words is deleted from the later document.
 
@@ -16,16 +18,19 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import SPACES, staged
+from feedloom.llm.shingles import mix
 
-#: Words that a line needs to propose pairs, and a run of aligned lines to be deleted.
-LEAST_LINE_WORDS, LEAST_BLOCK_WORDS = 5, 30
-#: Holders up to which a line is rare.
+#: Words that a run of lines needs to propose pairs, and a run of aligned lines to be deleted.
+LEAST_BLOCK_WORDS = 30
+#: Holders up to which a run is rare.
 RARE_HOLDERS = 6
+_BASE = 0x9E3779B97F4A7C15
 
 
 def sequences(docs: DataFrame) -> DataFrame:
@@ -36,16 +41,41 @@ def sequences(docs: DataFrame) -> DataFrame:
     return held.select("doc_id", "text_hash", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), size.alias("sizes"))
 
 
-def overlapping(seqs: DataFrame) -> DataFrame:
-    """Distinct (earlier, doc_id, text_hash) of documents that share a line, as in step 1."""
-    zipped = F.explode(F.arrays_zip(F.col("hashes").alias("hash"), F.col("sizes").alias("size")))
-    lines = seqs.select("doc_id", "text_hash", zipped.alias("x")).select("doc_id", "text_hash", "x.hash", "x.size")
-    lines = lines.filter(F.col("size") >= LEAST_LINE_WORDS)
+def run_hashes(hashes: list[int], sizes: list[int], least_words: int) -> np.ndarray:
+    """Distinct hashes of the shortest runs of ``least_words`` or more from and up to each line."""
+    n = len(hashes)
+    total = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
+    starts, stops = np.arange(n), np.searchsorted(total, total[:-1] + least_words)
+    onward = np.stack([starts, stops], axis=1)[stops <= n]
+    starts, stops = np.searchsorted(total, total[1:] - least_words, "right") - 1, np.arange(1, n + 1)
+    first, past = np.concatenate([onward, np.stack([starts, stops], axis=1)[starts >= 0]]).T
+    # The sum of hash * base^place over a run, moved to place 0; all of it modulo 2^64.
+    powers, back = (np.multiply.accumulate(np.array([1, *[x] * n], np.uint64)) for x in (_BASE, pow(_BASE, -1, 2**64)))
+    terms = mix(np.array(hashes, np.int64).view(np.uint64)) * powers[:n]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(terms)])
+    return np.unique(mix((sums[past] - sums[first]) * back[first] + (past - first).astype(np.uint64)).view(np.int64))
+
+
+def _run_rows(least_words: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = zip(batch.column("hashes").to_pylist(), batch.column("sizes").to_pylist(), strict=True)
+            runs = [run_hashes(hashes, sizes, least_words) for hashes, sizes in lines]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "runs": pa.array(runs, pa.list_(pa.int64())),
+            })
+    return run
+
+
+def overlapping(seqs: DataFrame, least_words: int = LEAST_BLOCK_WORDS) -> DataFrame:
+    """Distinct (earlier, doc_id, text_hash) of documents that share a run of lines, as in step 1."""
+    runs = seqs.mapInArrow(_run_rows(least_words), "doc_id bigint, text_hash bigint, runs array<bigint>")
+    lines = staged(runs, "runs").select("doc_id", "text_hash", F.explode("runs").alias("hash"))
     shared = lines.groupBy("hash").agg(
         F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last"), F.count("*").alias("holders")
     ).filter("earlier < last")
-    # Read from a table, the join has no aggregate below it, and a very common line can be split.
-    shared = staged(shared, "shared-lines")
+    # Read from a table, the join has no aggregate below it, and a very common run can be split.
+    shared = staged(shared, "shared-runs")
     held = lines.join(shared.drop("last"), "hash").filter("doc_id > earlier")
     rare = held.filter(F.col("holders") <= RARE_HOLDERS)
     others = rare.select("hash", F.col("doc_id").alias("earlier")).distinct()
@@ -146,7 +176,7 @@ def _align_rows(least_words: int):
 def repeated_blocks(docs: DataFrame, least_words: int = LEAST_BLOCK_WORDS) -> DataFrame:
     """(doc_id, text_hash, blocks) of documents that lose lines; blocks: array of (start, stop)."""
     seqs = staged(sequences(docs), "lines")
-    pairs = overlapping(seqs)
+    pairs = overlapping(seqs, least_words)
     first = seqs.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("before"))
     aligned = pairs.join(first, "earlier").join(seqs, ["doc_id", "text_hash"])
     found = aligned.select("doc_id", "text_hash", "before", "hashes", "sizes").mapInArrow(

@@ -155,3 +155,23 @@ def test_family_of_several_blocks(spark):
         texts[i] = " ".join(words)
     got = near_dedup.groups(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_groups(texts)
+
+
+def deleted(spark, texts):
+    rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    return {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(rows).collect()}
+
+
+def test_common_blocks_of_lines_with_other_first_holders(spark):
+    """Many documents hold A then B, one document before them A alone, another one B alone."""
+    a, b = (" ".join(f"{x}{k}" for k in range(26)) for x in "ab")
+    texts = {1: f"one\n{a}", 2: f"two\n{b}"} | {i: f"own {i}\n{a}\n{b}\nend {i}" for i in range(3, 15)}
+    # Lines of under five words each, and blocks that end in lines with too few words for a run of their own.
+    verse = "\n".join(f"line {k} here" for k in range(12))
+    texts |= {i: f"poem {i}\n{verse}\nby {i}" for i in range(20, 32)}
+    tail = "\n".join(" ".join(f"t{k}x{x}" for x in range(10)) for k in range(3))
+    texts |= {40: f"zero\n{tail}"} | {i: f"more {i}\n{tail}\nlast few words" for i in range(41, 53)}
+    got = deleted(spark, texts)
+    assert got == {i: t for i, t in ((i, brute_lines(texts)[i]) for i in texts)}
+    assert got[3] == texts[3] and got[4] == "own 4\nend 4" and got[31] == "poem 31\nby 31"
+    assert got[41] == "more 41\nlast few words" and got[42] == "more 42"

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import decontaminate, html_main, line_dedup, near_dedup, oracles, packing, quality, secrets, sharding, surrogates, toxicity
+from feedloom.llm import (
+    bpe_words, decontaminate, html_main, line_dedup, near_dedup, oracles, orchard, packing, prefix_trie, quality, secrets, sharding,
+    surrogates, toxicity,
+)
 from feedloom.llm.common import table
 from feedloom.sources.store import run_dir
 
@@ -61,6 +65,19 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(table(spark, sf_dir, "documents"), now, now | {SHARDS: 1.0})
 
 
+def op11_orchard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard.centroid_clusters(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
+def op13_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe_words.digests(bpe_words.encode_decode(table(spark, sf_dir, "documents"), tokenizer))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_line_dedup": op2_line_dedup,
@@ -72,6 +89,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_cascade": op8_quality_cascade,
     "op9_toxicity": op9_toxicity,
     "op10_rendezvous_shards": op10_rendezvous_shards,
+    "op11_orchard_clusters": op11_orchard_clusters,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_bpe_words": op13_bpe_words,
 }
 
-ORACLES: dict[str, str] = {"op1_secret_scan": oracles.SECRETS, "op8_quality_cascade": oracles.QUALITY}
+ORACLES: dict[str, str] = {
+    "op1_secret_scan": oracles.SECRETS,
+    "op8_quality_cascade": oracles.QUALITY,
+    "op11_orchard_clusters": oracles.CLUSTERS,
+    "op12_prefix_trie": oracles.PREFIXES,
+}

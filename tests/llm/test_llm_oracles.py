@@ -15,7 +15,8 @@ FOLDER = Path("/root/testdata/sf0.01")
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{FOLDER}/documents.parquet'")
+    for table in ("documents", "embeddings", "conversations"):
+        con.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
     result = con.execute(ORACLES[name])
     columns = [d[0] for d in result.description]
     expected = Counter(result.fetchall())

@@ -2,15 +2,15 @@
 
 1. Spark cuts every text into words at places where the tokenizer's own cutting has a border
    whatever stands around them, see ``WORD``. A word is thus encoded alone as it is inside
-   its text, also in a script that the tokenizer and Java class differently, and also where
-   it holds the string of a special token.
-2. Texts are gathered to batches of bounded size. A batch becomes one row: its distinct words,
-   and each text as the sequence of their numbers. So a word leaves a task once per batch,
-   however often it stands there.
-3. Each distinct word of the corpus is encoded once; its ids are joined with the tokenizer's
-   id-to-piece table, which gives the bytes they decode to.
-4. Ids and bytes go back to the batches that asked for the word, and each text is put together
-   by position.
+   its text, also in a script that the tokenizer and Java class differently.
+2. Texts are gathered to batches of bounded size. A batch keeps each text as the sequence of
+   its words' numbers, frequent words first. Its distinct words leave it once, however often
+   they stand there, in one packed row for each part of the word table.
+3. The word table is dealt to parts by the word's hash. Each distinct word of the corpus is in
+   one part and is encoded there once; the ids go back to the batches in the packs' order. A
+   word that all texts share adds one entry per batch.
+4. Each batch joins the ids with its sequences by position. Decoding joins ids with the
+   tokenizer's id-to-piece table, which is as large as the vocabulary and goes to every task.
 """
 
 from __future__ import annotations
@@ -21,17 +21,25 @@ import string
 from collections.abc import Callable, Iterable, Iterator
 from hashlib import sha256
 from pathlib import Path
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import staged
 
 #: Bytes of text in a batch; a longer text is a batch of its own.
 BATCH_BYTES = 16 << 20
+#: Bytes of the corpus for each part of the word table.
+PART_BYTES = 32 << 20
+#: Words that the tokenizer gets at once.
+CALL_WORDS = 4096
+ZSTD_LEVEL = 9
 #: The words of a text, white space included, one after the other. Every border is one of the
 #: tokenizer's own cutting whatever follows: a blank goes with what comes after it, a run of
 #: white space before something else ends before its last character, and a run of letters ends
@@ -39,7 +47,8 @@ BATCH_BYTES = 16 << 20
 #: tokenizer and Java class differently, and added tokens, are left to the tokenizer. White space
 #: that may stand before an added token stays with it, since the tokenizer cuts there first.
 WORD = r"\x20?\p{L}++(?=[!-/:-@\[-`{-~])|\x20?\S++|\s+(?!\S)|\s+"
-CUT = "batch bigint, doc_ids array<bigint>, wide boolean, numbers array<binary>, words array<string>"
+#: A batch's row has part -1; its packs of words have the part of the word table.
+CUT = "batch bigint, part int, doc_ids array<bigint>, n_words array<int>, numbers binary, parts binary, words binary"
 
 
 def word_pattern(tokenizer_json: str) -> str:
@@ -58,23 +67,80 @@ def text_words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 0)
 
 
-def _batch_row(batch: int, doc_ids: list[pa.Array], texts: list[pa.Array]) -> pa.RecordBatch:
+def _places(order: np.ndarray) -> np.ndarray:
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
+    return out
+
+
+def _squeeze(array: np.ndarray) -> bytes:
+    return zstandard.compress(array.tobytes(), ZSTD_LEVEL)
+
+
+def _spread(packed: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), kind)
+
+
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^28, seven bits a byte, the lowest first; all but the last byte have bit 7."""
+    sizes = 1 + sum((numbers >= 1 << 7 * k).astype(np.int64) for k in (1, 2, 3))
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.uint8)
+    for k in range(4):
+        has = sizes > k
+        out[starts[has] + k] = ((numbers[has] >> 7 * k) & 127) | np.where(sizes[has] > k + 1, 128, 0)
+    return _squeeze(out)
+
+
+def unpack_numbers(packed: bytes) -> np.ndarray:
+    out = _spread(packed, np.uint8).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[0], out[:-1]]) < 128) if len(out) else np.zeros(0, np.int64)
+    place = np.arange(len(out)) - np.repeat(starts, np.diff(np.append(starts, len(out))))
+    return np.add.reduceat((out & 127) << 7 * place, starts) if len(out) else out
+
+
+def pack_lists(sizes: np.ndarray, body: bytes) -> bytes:
+    """Several byte strings, or lists of numbers, one after the other."""
+    head = np.concatenate([[len(sizes)], sizes]).astype("<u4")
+    return zstandard.compress(head.tobytes() + body, ZSTD_LEVEL)
+
+
+def unpack_lists(packed: bytes) -> tuple[np.ndarray, bytes]:
+    whole = zstandard.decompress(packed)
+    n = int(np.frombuffer(whole, "<u4", 1)[0])
+    return np.frombuffer(whole, "<u4", n, 4).astype(np.int64), whole[4 * n + 4:]
+
+
+def _batch_rows(batch: int, doc_ids: list[pa.Array], texts: list[pa.Array], parts: int) -> pa.RecordBatch:
     lists = pa.concat_arrays(texts)
     coded = lists.flatten().dictionary_encode()
-    wide = len(coded.dictionary) > 1 << 16
-    numbers = coded.indices.to_numpy(zero_copy_only=False).astype("<u4" if wide else "<u2")
-    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = np.bincount(numbers, minlength=len(coded.dictionary))
+    # Words of one count stand in their own order: their packs are smaller so.
+    by_count = np.lexsort((_places(pc.array_sort_indices(coded.dictionary).to_numpy()), -counts))
+    rank = _places(by_count)
+    words = [w.encode() for w in coded.dictionary.take(pa.array(by_count)).to_pylist()]
+    part_of = np.array([crc32(w) % parts for w in words], np.int64)
+    order = np.argsort(part_of, kind="stable")
+    held, starts = np.unique(part_of[order], return_index=True)
+    packs = []
+    for mine in np.split(order, starts[1:]) if len(held) else []:
+        pack = [words[i] for i in mine.tolist()]
+        packs.append(pack_lists(np.array([len(w) for w in pack]), b"".join(pack)))
+    none = [None] * len(packs)
     return pa.RecordBatch.from_pydict({
-        "batch": pa.array([batch], pa.int64()),
-        "doc_ids": pa.array([pa.concat_arrays(doc_ids).to_pylist()], pa.list_(pa.int64())),
-        "wide": pa.array([wide]),
-        "numbers": pa.array([[part.tobytes() for part in np.split(numbers, ends[:-1])]], pa.list_(pa.binary())),
-        "words": pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string())),
+        "batch": pa.array([batch] * (1 + len(packs)), pa.int64()),
+        "part": pa.array([-1, *held.tolist()], pa.int32()),
+        "doc_ids": pa.array([pa.concat_arrays(doc_ids).to_pylist(), *none], pa.list_(pa.int64())),
+        "n_words": pa.array([lists.value_lengths().to_pylist(), *none], pa.list_(pa.int32())),
+        "numbers": pa.array([pack_numbers(rank[numbers]), *none], pa.binary()),
+        "parts": pa.array([_squeeze(part_of.astype("<u4")), *none], pa.binary()),
+        "words": pa.array([None, *packs], pa.binary()),
     })
 
 
-def _batches(batch_bytes: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Cut the texts of a partition into batches, in order; one row each."""
+def _batches(batch_bytes: int, parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cut the texts of a partition into batches, in order."""
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = TaskContext.get().partitionId() << 33
         doc_ids, texts, held = [], [], 0
@@ -92,27 +158,34 @@ def _batches(batch_bytes: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[
                     held += int(sizes[stop - 1] - before)
                     start = stop
                 if start < row_batch.num_rows:
-                    yield _batch_row(batch, doc_ids, texts)
+                    yield _batch_rows(batch, doc_ids, texts, parts)
                     batch, doc_ids, texts, held = batch + 1, [], [], 0
         if texts:
-            yield _batch_row(batch, doc_ids, texts)
+            yield _batch_rows(batch, doc_ids, texts, parts)
     return run
 
 
-def _encode(tokenizer_json: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode(tokenizer_json: str, kind: str) -> Callable[[pa.Table], pa.Table]:
+    """Encode each distinct word of a part of the word table once, and answer its packs."""
+    def run(packs: pa.Table) -> pa.Table:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(tokenizer_json)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        number = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            words = batch.column("word").to_pylist()
-            coded = [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
-            numbers = pa.array(range(number, number + len(words)), pa.int64())
-            yield pa.RecordBatch.from_arrays([numbers, batch.column("word"), pa.array(coded, pa.list_(pa.int32()))], ["word_id", "word", "ids"])
-            number += len(words)
+        number: dict[bytes, int] = {}
+        asked = []
+        for pack in packs.column("words"):
+            sizes, body = unpack_lists(pack.as_py())
+            ends = np.cumsum(sizes).tolist()
+            words = [body[end - size:end] for end, size in zip(ends, sizes.tolist(), strict=True)]
+            asked.append(np.array([number.setdefault(w, len(number)) for w in words], np.int64))
+        distinct = [w.decode() for w in number]
+        coded = []
+        for start in range(0, len(distinct), CALL_WORDS):
+            coded += [np.array(e.ids, kind) for e in tokenizer.encode_batch(distinct[start:start + CALL_WORDS], add_special_tokens=False)]
+        answers = [pack_lists(np.array([len(coded[i]) for i in mine]), b"".join([coded[i].tobytes() for i in mine])) for mine in map(np.ndarray.tolist, asked)]
+        return pa.table({"asked_by": packs.column("batch"), "part": packs.column("part"), "ids": pa.array(answers, pa.binary())})
     return run
 
 
@@ -124,46 +197,51 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
-def id_pieces(spark: SparkSession, tokenizer_json: str) -> DataFrame:
-    """(id, piece): the bytes of every id of a byte-level tokenizer, special tokens included."""
+def id_pieces(tokenizer_json: str) -> list[bytes]:
+    """The bytes of every id of a byte-level tokenizer, added tokens included; unused ids have none."""
     about, alphabet = json.loads(tokenizer_json), byte_alphabet()
-    special = {t["id"]: t["content"].encode() for t in about["added_tokens"]}
-    plain = {i: bytes(alphabet[c] for c in piece) for piece, i in about["model"]["vocab"].items() if i not in special}
-    rows = pa.table({"id": pa.array([*plain, *special], pa.int32()), "piece": pa.array([*plain.values(), *special.values()], pa.binary())})
-    return spark.createDataFrame(rows)
-
-
-def coded_words(words: DataFrame, tokenizer_json: str) -> DataFrame:
-    """(word, ids, bytes) of every distinct ``word``; its bytes come through the id-to-piece join."""
-    distinct = words.select("word").distinct()
-    coded = staged(distinct.mapInArrow(_encode(tokenizer_json), "word_id bigint, word string, ids array<int>"), "word-ids")
-    pieces = id_pieces(words.sparkSession, tokenizer_json)  # as many rows as the vocabulary
-    spelled = coded.select("word_id", F.posexplode("ids").alias("place", "id")).join(F.broadcast(pieces), "id")
-    decoded = spelled.groupBy("word_id").agg(F.expr("listagg(piece) within group (order by place)").alias("bytes"))
-    return coded.join(decoded, "word_id").drop("word_id")
-
-
-def _assemble(key: tuple[pa.Scalar, ...], texts: pa.Table, words: pa.Table) -> pa.Table:
-    size = words.num_rows
-    ids, spelled = [b""] * size, [b""] * size
-    for number, coded, piece in zip(
-        words.column("number").to_pylist(), words.column("ids").to_pylist(), words.column("bytes").to_pylist(), strict=True
-    ):
-        ids[number], spelled[number] = np.asarray(coded, "<i4").tobytes(), piece
-    out_ids, out_texts, doc_ids = [], [], []
-    for row in range(texts.num_rows):
-        kind = "<u4" if texts.column("wide")[row].as_py() else "<u2"
-        doc_ids += texts.column("doc_ids")[row].as_py()
-        for numbers in texts.column("numbers")[row].as_py():
-            order = np.frombuffer(numbers, kind).tolist()
-            out_ids.append(np.frombuffer(b"".join([ids[i] for i in order]), "<i4"))
-            out_texts.append(b"".join([spelled[i] for i in order]).decode("utf-8", "replace"))
-    return pa.table({
-        "doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out_ids, pa.list_(pa.int32())), "decoded": pa.array(out_texts, pa.string()),
-    })
+    pieces = {i: bytes(alphabet[c] for c in piece) for piece, i in about["model"]["vocab"].items()}
+    pieces |= {t["id"]: t["content"].encode() for t in about["added_tokens"]}
+    return [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+
+
+def joined_ids(numbers: np.ndarray, part_of: np.ndarray, answers: dict[int, bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, how many each word of the sequence has): the ids of the parts' packs, word by word."""
+    order = np.argsort(part_of, kind="stable")
+    held = np.unique(part_of)
+    unpacked = [unpack_lists(answers[part]) for part in held.tolist()]
+    sizes = np.zeros(len(part_of), np.int64)
+    if unpacked:
+        sizes[order] = np.concatenate([s for s, _ in unpacked])
+    starts = np.zeros(len(part_of), np.int64)
+    starts[order] = np.cumsum(sizes[order]) - sizes[order]
+    flat = np.frombuffer(b"".join([body for _, body in unpacked]), kind)
+    per_word = sizes[numbers]
+    ends = np.cumsum(per_word)
+    shift = np.repeat(starts[numbers] - (ends - per_word), per_word)
+    return flat[shift + np.arange(len(shift))].astype(np.int32), per_word
+
+
+def _assemble(kind: str, pieces: list[bytes]) -> Callable[[tuple[pa.Scalar, ...], pa.Table, pa.Table], pa.Table]:
+    def run(key: tuple[pa.Scalar, ...], batches: pa.Table, answers: pa.Table) -> pa.Table:
+        of_part = dict(zip(answers.column("part").to_pylist(), answers.column("ids").to_pylist(), strict=True))
+        batch = batches.to_pylist()[0]
+        ids, per_word = joined_ids(unpack_numbers(batch["numbers"]), _spread(batch["parts"], "<u4").astype(np.int64), of_part, kind)
+        word_ends = np.cumsum(np.array(batch["n_words"], np.int64))
+        ends = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], word_ends])]
+        decoded = [
+            b"".join([pieces[i] for i in ids[start:end].tolist()]).decode("utf-8", "replace")
+            for start, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+        ]
+        return pa.table({
+            "doc_id": pa.array(batch["doc_ids"], pa.int64()),
+            "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())),
+            "decoded": pa.array(decoded, pa.string()),
+        })
+    return run
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str, batch_bytes: int = BATCH_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, ids, decoded) of every row of ``docs`` (doc_id, text).
 
     ``tokenizer`` is the path of a byte-level tokenizer file; it is read on the driver only. A
@@ -172,18 +250,17 @@ def encode_decode(docs: DataFrame, tokenizer: str, batch_bytes: int = BATCH_BYTE
     out; an empty table gives an empty one.
     """
     tokenizer_json = Path(tokenizer).read_text(encoding="utf-8")
-    words = text_words(F.col("text"), word_pattern(tokenizer_json))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"),
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-    )
-    cut = staged(rows.mapInArrow(_batches(batch_bytes), CUT), "word-numbers")
-    asked = cut.select("batch", F.posexplode("words").alias("number", "word"))
-    coded = staged(coded_words(asked, tokenizer_json), "coded-words")
-    answered = asked.join(coded, "word").select(F.col("batch").alias("asked_by"), "number", "ids", "bytes")
-    texts = cut.select("batch", "doc_ids", "wide", "numbers")
-    return texts.groupBy("batch").cogroup(answered.groupBy("asked_by")).applyInArrow(
-        _assemble, "doc_id bigint, ids array<int>, decoded string"
+    pattern, pieces = word_pattern(tokenizer_json), id_pieces(tokenizer_json)
+    kind = "<u2" if len(pieces) <= 1 << 16 else "<u4"
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    parts = 1 + (docs.agg(F.sum(n_bytes)).first()[0] or 0) // part_bytes
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_words(F.col("text"), pattern).alias("words"), n_bytes.alias("n_bytes"))
+    cut = staged(rows.mapInArrow(_batches(batch_bytes, parts), CUT), "word-numbers")
+    packs = cut.filter("part >= 0").select("batch", "part", "words")
+    answers = packs.groupBy("part").applyInArrow(_encode(tokenizer_json, kind), "asked_by bigint, part int, ids binary")
+    batches = cut.filter("part = -1").select("batch", "doc_ids", "n_words", "numbers", "parts")
+    return batches.groupBy("batch").cogroup(answers.groupBy("asked_by")).applyInArrow(
+        _assemble(kind, pieces), "doc_id bigint, ids array<int>, decoded string"
     )
 
 

@@ -5,6 +5,7 @@ from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -80,10 +81,47 @@ def test_repeated_rows_and_empty_table(spark):
 def test_batches_are_bounded_and_words_leave_once(spark):
     rows = spark.createDataFrame([(i, "the cat and the cat " * 20) for i in range(100)], "doc_id bigint, text string").coalesce(1)
     cut = rows.select("doc_id", bpe_words.text_words(F.col("text"), bpe_words.WORD).alias("words"), F.octet_length("text").cast("long").alias("n_bytes"))
-    batches = cut.mapInArrow(bpe_words._batches(4000), bpe_words.CUT).collect()
+    rows = cut.mapInArrow(bpe_words._batches(4000, 3), bpe_words.CUT).collect()
+    batches, packs = [r for r in rows if r.part == -1], [r for r in rows if r.part >= 0]
     assert [len(b.doc_ids) for b in batches] == [10] * 10
-    assert all(sorted(b.words) == [" ", " and", " cat", " the", "the"] for b in batches)
-    assert len({b.batch for b in batches}) == 10
+    for batch in batches:
+        sizes, bodies = zip(*[bpe_words.unpack_lists(bytes(p.words)) for p in packs if p.batch == batch.batch], strict=True)
+        assert sum(map(len, sizes)) == 5 and len(b"".join(bodies)) == len(" " + " and" + " cat" + " the" + "the")
+    assert len({b.batch for b in batches}) == 10 and {p.part for p in packs} <= {0, 1, 2}
+
+
+def test_each_distinct_word_is_encoded_once(monkeypatch):
+    words = [b"the", b" cat", b" sat"]
+    pack = bpe_words.pack_lists(np.array([len(w) for w in words]), b"".join(words))
+    packs = pa.table({"batch": [1, 2], "part": pa.array([0, 0], pa.int32()), "words": pa.array([pack, pack])})
+    asked = []
+
+    class Counting:
+        def __init__(self, real):
+            self.real = real
+
+        def no_truncation(self):
+            pass
+
+        no_padding = no_truncation
+
+        def encode_batch(self, texts, add_special_tokens):
+            asked.extend(texts)
+            return self.real.encode_batch(texts, add_special_tokens=add_special_tokens)
+
+    class Factory:
+        from_str = staticmethod(lambda text: Counting(Tokenizer.from_str(text)))
+
+    monkeypatch.setattr("tokenizers.Tokenizer", Factory)
+    out = bpe_words._encode(open(PATH, encoding="utf-8").read(), "<u2")(packs)
+    assert asked == ["the", " cat", " sat"] and out.column("asked_by").to_pylist() == [1, 2]
+    assert out.column("ids")[0] == out.column("ids")[1]
+
+
+@pytest.mark.parametrize("numbers", [[], [0], [127, 128, 16383, 16384, 2097151, 2097152, (1 << 28) - 1, 0, 5]])
+def test_numbers_round_trip(numbers):
+    numbers = np.array(numbers, np.int64)
+    assert bpe_words.unpack_numbers(bpe_words.pack_numbers(numbers)).tolist() == numbers.tolist()
 
 
 def test_added_tokens_that_words_may_cut_are_refused():

@@ -20,6 +20,7 @@ import re
 import string
 from collections.abc import Callable, Iterable, Iterator
 from hashlib import sha256
+from itertools import chain
 from pathlib import Path
 from zlib import crc32
 
@@ -36,9 +37,9 @@ from feedloom.llm.common import staged
 #: Bytes of text in a batch; a longer text is a batch of its own.
 BATCH_BYTES = 16 << 20
 #: Bytes of the corpus for each part of the word table.
-PART_BYTES = 32 << 20
-#: Words that the tokenizer gets at once.
-CALL_WORDS = 4096
+PART_BYTES = 16 << 20
+#: Words that the tokenizer gets at once, and words whose ids are put together at once.
+CALL_WORDS, JOIN_WORDS = 4096, 1 << 18
 ZSTD_LEVEL = 9
 #: The words of a text, white space included, one after the other. Every border is one of the
 #: tokenizer's own cutting whatever follows: a blank goes with what comes after it, a run of
@@ -68,8 +69,8 @@ def text_words(text: Column, pattern: str) -> Column:
 
 
 def _places(order: np.ndarray) -> np.ndarray:
-    out = np.empty(len(order), np.int64)
-    out[order] = np.arange(len(order))
+    out = np.empty(len(order), np.int32)
+    out[order] = np.arange(len(order), dtype=np.int32)
     return out
 
 
@@ -83,9 +84,10 @@ def _spread(packed: bytes, kind: str) -> np.ndarray:
 
 def pack_numbers(numbers: np.ndarray) -> bytes:
     """Numbers below 2^28, seven bits a byte, the lowest first; all but the last byte have bit 7."""
-    sizes = 1 + sum((numbers >= 1 << 7 * k).astype(np.int64) for k in (1, 2, 3))
-    starts = np.cumsum(sizes) - sizes
-    out = np.zeros(int(sizes.sum()), np.uint8)
+    numbers = numbers.astype(np.int32)
+    sizes = 1 + sum((numbers >= 1 << 7 * k).astype(np.int8) for k in (1, 2, 3))
+    starts = np.cumsum(sizes, dtype=np.int32) - sizes
+    out = np.zeros(int(sizes.sum(dtype=np.int64)), np.uint8)
     for k in range(4):
         has = sizes > k
         out[starts[has] + k] = ((numbers[has] >> 7 * k) & 127) | np.where(sizes[has] > k + 1, 128, 0)
@@ -93,10 +95,14 @@ def pack_numbers(numbers: np.ndarray) -> bytes:
 
 
 def unpack_numbers(packed: bytes) -> np.ndarray:
-    out = _spread(packed, np.uint8).astype(np.int64)
-    starts = np.flatnonzero(np.concatenate([[0], out[:-1]]) < 128) if len(out) else np.zeros(0, np.int64)
-    place = np.arange(len(out)) - np.repeat(starts, np.diff(np.append(starts, len(out))))
-    return np.add.reduceat((out & 127) << 7 * place, starts) if len(out) else out
+    out = _spread(packed, np.uint8)
+    ends = np.flatnonzero(out < 128).astype(np.int32)
+    starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int32)[:len(ends)]
+    numbers = np.zeros(len(ends), np.int32)
+    for k in range(4):
+        has = starts + k <= ends
+        numbers[has] |= (out[starts[has] + k] & 127).astype(np.int32) << 7 * k
+    return numbers
 
 
 def pack_lists(sizes: np.ndarray, body: bytes) -> bytes:
@@ -114,7 +120,7 @@ def unpack_lists(packed: bytes) -> tuple[np.ndarray, bytes]:
 def _batch_rows(batch: int, doc_ids: list[pa.Array], texts: list[pa.Array], parts: int) -> pa.RecordBatch:
     lists = pa.concat_arrays(texts)
     coded = lists.flatten().dictionary_encode()
-    numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    numbers = coded.indices.to_numpy(zero_copy_only=False)
     counts = np.bincount(numbers, minlength=len(coded.dictionary))
     # Words of one count stand in their own order: their packs are smaller so.
     by_count = np.lexsort((_places(pc.array_sort_indices(coded.dictionary).to_numpy()), -counts))
@@ -180,11 +186,18 @@ def _encode(tokenizer_json: str, kind: str) -> Callable[[pa.Table], pa.Table]:
             ends = np.cumsum(sizes).tolist()
             words = [body[end - size:end] for end, size in zip(ends, sizes.tolist(), strict=True)]
             asked.append(np.array([number.setdefault(w, len(number)) for w in words], np.int64))
-        distinct = [w.decode() for w in number]
-        coded = []
+        distinct = list(number)
+        ids, sizes = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
         for start in range(0, len(distinct), CALL_WORDS):
-            coded += [np.array(e.ids, kind) for e in tokenizer.encode_batch(distinct[start:start + CALL_WORDS], add_special_tokens=False)]
-        answers = [pack_lists(np.array([len(coded[i]) for i in mine]), b"".join([coded[i].tobytes() for i in mine])) for mine in map(np.ndarray.tolist, asked)]
+            texts = [w.decode() for w in distinct[start:start + CALL_WORDS]]
+            coded = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+            sizes.append(np.array([len(c) for c in coded], np.int64))
+            ids.append(np.fromiter(chain.from_iterable(coded), kind))
+        lists = IdLists(np.concatenate(sizes), np.concatenate(ids))
+        answers = []
+        for mine in asked:
+            found, held = lists.take(mine)
+            answers.append(pack_lists(held, found.tobytes()))
         return pa.table({"asked_by": packs.column("batch"), "part": packs.column("part"), "ids": pa.array(answers, pa.binary())})
     return run
 
@@ -205,39 +218,53 @@ def id_pieces(tokenizer_json: str) -> list[bytes]:
     return [pieces.get(i, b"") for i in range(max(pieces) + 1)]
 
 
-def joined_ids(numbers: np.ndarray, part_of: np.ndarray, answers: dict[int, bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, how many each word of the sequence has): the ids of the parts' packs, word by word."""
-    order = np.argsort(part_of, kind="stable")
-    held = np.unique(part_of)
-    unpacked = [unpack_lists(answers[part]) for part in held.tolist()]
-    sizes = np.zeros(len(part_of), np.int64)
-    if unpacked:
-        sizes[order] = np.concatenate([s for s, _ in unpacked])
-    starts = np.zeros(len(part_of), np.int64)
-    starts[order] = np.cumsum(sizes[order]) - sizes[order]
-    flat = np.frombuffer(b"".join([body for _, body in unpacked]), kind)
-    per_word = sizes[numbers]
-    ends = np.cumsum(per_word)
-    shift = np.repeat(starts[numbers] - (ends - per_word), per_word)
-    return flat[shift + np.arange(len(shift))].astype(np.int32), per_word
+class IdLists:
+    """The ids of numbered words, one list after the other."""
+
+    def __init__(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.sizes, self.starts, self.ids = sizes, np.cumsum(sizes) - sizes, ids
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a sequence of words, and how many each word has."""
+        sizes = self.sizes[numbers]
+        shift = np.repeat(self.starts[numbers] - (np.cumsum(sizes) - sizes), sizes)
+        return self.ids[shift + np.arange(len(shift))], sizes
+
+    @classmethod
+    def of_parts(cls, part_of: np.ndarray, answers: dict[int, bytes], kind: str) -> IdLists:
+        """The lists that come from the packs of several parts; a part's words rise in its pack."""
+        unpacked = [unpack_lists(answers[part]) for part in np.unique(part_of).tolist()]
+        lists = cls(
+            np.concatenate([np.zeros(0, np.int64), *[sizes for sizes, _ in unpacked]]),
+            np.frombuffer(b"".join([body for _, body in unpacked]), kind),
+        )
+        place = _places(np.argsort(part_of, kind="stable"))
+        lists.sizes, lists.starts = lists.sizes[place], lists.starts[place]
+        return lists
 
 
 def _assemble(kind: str, pieces: list[bytes]) -> Callable[[tuple[pa.Scalar, ...], pa.Table, pa.Table], pa.Table]:
     def run(key: tuple[pa.Scalar, ...], batches: pa.Table, answers: pa.Table) -> pa.Table:
         of_part = dict(zip(answers.column("part").to_pylist(), answers.column("ids").to_pylist(), strict=True))
         batch = batches.to_pylist()[0]
-        ids, per_word = joined_ids(unpack_numbers(batch["numbers"]), _spread(batch["parts"], "<u4").astype(np.int64), of_part, kind)
-        word_ends = np.cumsum(np.array(batch["n_words"], np.int64))
-        ends = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], word_ends])]
-        decoded = [
-            b"".join([pieces[i] for i in ids[start:end].tolist()]).decode("utf-8", "replace")
-            for start, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
-        ]
-        return pa.table({
-            "doc_id": pa.array(batch["doc_ids"], pa.int64()),
-            "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())),
-            "decoded": pa.array(decoded, pa.string()),
-        })
+        lists = IdLists.of_parts(_spread(batch["parts"], "<u4"), of_part, kind)
+        numbers, ends = unpack_numbers(batch["numbers"]), np.cumsum([0, *batch["n_words"]])
+        out, first, last = [], 0, len(batch["doc_ids"])
+        while first < last:
+            stop = max(first + 1, int(np.searchsorted(ends, ends[first] + JOIN_WORDS, side="right")) - 1)
+            ids, sizes = lists.take(numbers[ends[first]:ends[stop]])
+            cuts = np.concatenate([[0], np.cumsum(sizes)])[ends[first:stop + 1] - ends[first]]
+            decoded = [
+                b"".join([pieces[i] for i in ids[a:b].tolist()]).decode("utf-8", "replace")
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+            ]
+            out.append(pa.RecordBatch.from_pydict({
+                "doc_id": pa.array(batch["doc_ids"][first:stop], pa.int64()),
+                "ids": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32())),
+                "decoded": pa.array(decoded, pa.string()),
+            }))
+            first = stop
+        return pa.Table.from_batches(out)
     return run
 
 

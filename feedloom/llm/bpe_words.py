@@ -16,10 +16,10 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import string
 from collections.abc import Callable, Iterable, Iterator
-from hashlib import sha256
 from itertools import chain
 from pathlib import Path
 from zlib import crc32
@@ -174,6 +174,8 @@ def _batches(batch_bytes: int, parts: int) -> Callable[[Iterable[pa.RecordBatch]
 def _encode(tokenizer_json: str, kind: str) -> Callable[[pa.Table], pa.Table]:
     """Encode each distinct word of a part of the word table once, and answer its packs."""
     def run(packs: pa.Table) -> pa.Table:
+        # One thread: Spark runs the tasks side by side.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -261,6 +263,7 @@ def _assemble(kind: str, pieces: list[bytes]) -> Callable[[tuple[pa.Scalar, ...]
             out.append(pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(batch["doc_ids"][first:stop], pa.int64()),
                 "ids": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32())),
+                "ids_bytes": pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                 "decoded": pa.array(decoded, pa.string()),
             }))
             first = stop
@@ -269,9 +272,9 @@ def _assemble(kind: str, pieces: list[bytes]) -> Callable[[tuple[pa.Scalar, ...]
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, batch_bytes: int = BATCH_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
-    """(doc_id, ids, decoded) of every row of ``docs`` (doc_id, text).
+    """(doc_id, ids, ids_bytes, decoded) of every row of ``docs`` (doc_id, text).
 
-    ``tokenizer`` is the path of a byte-level tokenizer file; it is read on the driver only. A
+    ``ids_bytes`` are the ids as little-endian unsigned 32-bit integers. ``tokenizer`` is the path of a byte-level tokenizer file; it is read on the driver only. A
     null or empty text, or one without a word, has no ids and decodes to an empty text. Rows
     with equal or null ids, and repeated rows, are encoded row by row. Other columns are left
     out; an empty table gives an empty one.
@@ -287,24 +290,13 @@ def encode_decode(docs: DataFrame, tokenizer: str, batch_bytes: int = BATCH_BYTE
     answers = packs.groupBy("part").applyInArrow(_encode(tokenizer_json, kind), "asked_by bigint, part int, ids binary")
     batches = cut.filter("part = -1").select("batch", "doc_ids", "n_words", "numbers", "parts")
     return batches.groupBy("batch").cogroup(answers.groupBy("asked_by")).applyInArrow(
-        _assemble(kind, pieces), "doc_id bigint, ids array<int>, decoded string"
+        _assemble(kind, pieces), "doc_id bigint, ids array<int>, ids_bytes binary, decoded string"
     )
 
 
-def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column("ids")
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes)
-        yield pa.RecordBatch.from_pydict({
-            "doc_id": batch.column("doc_id"), "n_tokens": pa.array(sizes, pa.int64()),
-            "ids_sha256": pa.array([sha256(flat[e - n:e].tobytes()).hexdigest() for e, n in zip(ends, sizes, strict=True)], pa.string()),
-            "decoded_sha256": batch.column("decoded_sha256"),
-        })
-
-
 def digests(coded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256); ids as little-endian unsigned 32-bit integers."""
-    hashed = coded.select("doc_id", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-    return hashed.mapInArrow(_digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_bytes", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )

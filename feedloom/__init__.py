@@ -1,3 +1,8 @@
-"""feedloom: feed-to-article ETL and analytics on Spark DataFrames."""
+"""PySpark library for news feeds and the articles they carry."""
 
-__version__ = "0.1.0"
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need not have this package: the few functions that run in Python travel with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

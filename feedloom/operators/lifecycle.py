@@ -1,26 +1,32 @@
 """Guarded status transitions, one round or a whole ordered command log.
 
 A log replay must run one article's commands in order, yet one article may own a large
-part of the log. A run of commands is a function from status to status, and such
-functions compose, so the log is cut into short time slices, every slice is reduced to
-its function in parallel, and only these are folded per article:
+part of the log, also within one instant. A run of commands is a function from status to
+status, and such functions compose, so the replay is a prefix scan:
 
-    commands --(article, second)--> slice function --(article, hour)--> hour function
-             --(article)--> start status per hour --> start status per second --> outcomes
+1. The log is dealt to ranges of (article, time, number) and sorted there. Each command gets
+   the function of the commands before it on its article in its range.
+2. A range's last function per article is all that other ranges need: these run in order of
+   the ranges, from the stored status, and give each (range, article) its start status.
+3. A command's status is its function's value at that start.
 
-No array is longer than the commands of one article in one second, the seconds of an
-hour, or the hours of the log.
+Every pass streams. Nothing is gathered per article or time slice, and a pair (range,
+article) is never larger than a range.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedloom.operators.joins import batch_join, probe_join
 from feedloom.schemas import ARTICLE_STATUSES
+from feedloom.sources.store import run_dir, stage
 
 # Guarded commands (name, required status, resulting status) and free ones.
 FREE = (("archive", "ARCHIVED"), ("submit", "PENDING_REVIEW"))
@@ -32,8 +38,8 @@ GUARDED = (
 ALREADY_ARCHIVED = "Article is already archived."
 COMMANDS = tuple(name for name, *_ in (*FREE, *GUARDED))
 MISSING = len(ARTICLE_STATUSES)
-
-MapOf = Callable[[Column], Column]
+#: Bits of a status in a packed function; all of them fit 63 bits.
+BITS = 4
 
 
 def next_status(status: Column, command: Column) -> Column:
@@ -113,21 +119,26 @@ def _status_name(index: Column) -> Column:
     return F.get(F.array(*[F.lit(s) for s in ARTICLE_STATUSES]), index)
 
 
-def _identity() -> Column:
-    return F.array(*[F.lit(i) for i in range(MISSING + 1)])
+def _pack(results: Sequence[int]) -> int:
+    """A function as one number: four bits for the result of each start status."""
+    return sum(result << BITS * i for i, result in enumerate(results))
 
 
-def _command_table() -> Column:
-    """Every command as a function: an array of result indices, one per start status.
+def _unpack(packed: int) -> list[int]:
+    return [packed >> BITS * i & (1 << BITS) - 1 for i in range(MISSING + 1)]
 
-    The extra last row changes nothing and stands for unknown commands.
-    """
+
+def _value(packed: str, start: str) -> Column:
+    return F.expr(f"cast(shiftright({packed}, {BITS} * {start}) & {(1 << BITS) - 1} as int)")
+
+
+def _command_maps() -> list[int]:
+    """Every command as a function. The last one changes nothing and stands for the others."""
     index = {status: i for i, status in enumerate(ARTICLE_STATUSES)}
     rows = [[index[result]] * MISSING for _, result in FREE]
     for _, required, result in GUARDED:
         rows.append([index[result] if s == required else index[s] for s in ARTICLE_STATUSES])
-    rows.append(list(range(MISSING)))
-    return F.array(*[F.array(*[F.lit(i) for i in (*row, MISSING)]) for row in rows])
+    return [_pack([*row, MISSING]) for row in (*rows, range(MISSING))]
 
 
 def _command_index(command: Column) -> Column:
@@ -135,98 +146,93 @@ def _command_index(command: Column) -> Column:
     return F.coalesce(F.when(position > 0, position - 1), F.lit(len(COMMANDS)))
 
 
-def _compose(maps: Column) -> Column:
-    """Apply functions in array order."""
-    return F.aggregate(maps, _identity(), lambda acc, m: F.transform(acc, lambda i: F.get(m, i)))
-
-
-def _starts(maps: Column, start: Column) -> Column:
-    """Start status of every element, given the start status of the first."""
-    empty = F.array().cast("array<int>")
-    run = F.aggregate(
-        maps,
-        F.struct(start.alias("at"), empty.alias("seen")),
-        lambda acc, m: F.struct(
-            F.get(m, acc["at"]).alias("at"), F.concat(acc["seen"], F.array(acc["at"])).alias("seen")
-        ),
-    )
-    return run["seen"]
-
-
-def _ordered(df: DataFrame, keys: list[str], fields: list[str], map_of: MapOf) -> DataFrame:
-    """Group into ``part``, the structs of ``fields`` in order, and their composed ``map``."""
-    part = F.array_sort(F.collect_list(F.struct(*fields))).alias("part")
-    grouped = df.groupBy(*keys).agg(part)
-    return grouped.withColumn("map", _compose(F.transform("part", map_of)))
-
-
-def _push_down(grouped: DataFrame, keys: list[str], fields: list[str], map_of: MapOf) -> DataFrame:
-    """Rows of ``part`` with their start status, from ``grouped`` that has ``start``."""
-    starts = _starts(F.transform("part", map_of), F.col("start"))
-    rows = grouped.select(*keys, F.explode(F.arrays_zip("part", starts.alias("at"))).alias("_p"))
-    return rows.select(*keys, *[F.col(f"_p.part.{f}").alias(f) for f in fields], F.col("_p.at").alias("start"))
-
-
-def replay(
-    articles: DataFrame, commands: DataFrame, units: tuple[str, ...] = ("second", "hour")
-) -> DataFrame:
+def _prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add the functions of an article's earlier commands in this range, without and with each."""
+    part, place, article = TaskContext.get().partitionId(), 0, object()
+    maps = _command_maps()
+    identity, seen = maps[-1], {}
+    after = identity
+    for batch in batches:
+        before_all, after_all = [], []
+        for this, code in zip(batch.column("article_id").to_pylist(), batch.column("code").to_pylist(), strict=True):
+            before = after if this == article else identity
+            after = seen.get((before, code))
+            if after is None:  # there are only few such functions
+                step_of = _unpack(maps[code])
+                after = seen[before, code] = _pack([step_of[status] for status in _unpack(before)])
+            article = this
+            before_all.append(before)
+            after_all.append(after)
+        added = {
+            "part": pa.array([part] * batch.num_rows, pa.int32()),
+            "place": pa.array(range(place, place + batch.num_rows), pa.int64()),
+            "before": pa.array(before_all, pa.int64()), "after": pa.array(after_all, pa.int64()),
+        }
+        place += batch.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, *added.values()], [*batch.schema.names, *added])
+
+
+def _range_starts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Start status of every range of an article, the ranges in order."""
+    article, status = object(), MISSING
+    for batch in batches:
+        starts = []
+        columns = [batch.column(name).to_pylist() for name in ("article_id", "stored", "after")]
+        for this, stored, after in zip(*columns, strict=True):
+            status = status if this == article else stored
+            article = this
+            starts.append(status)
+            status = after >> BITS * status & (1 << BITS) - 1
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("article_id"), batch.column("part"), pa.array(starts, pa.int32())], ["article_id", "part", "start"]
+        )
+
+
+def command_functions(commands: DataFrame, ranges: int | None = None) -> DataFrame:
+    """``commands`` with their range ``part``, their ``place`` in it, and the functions
+    ``before`` and ``after`` them. Commands without article or time change nothing."""
+    keyed = F.col("article_id").isNotNull() & F.col("ts").isNotNull()
+    code = F.when(keyed, _command_index(F.col("command"))).otherwise(len(COMMANDS)).cast("int")
+    coded = commands.select("seq", "article_id", "command", "ts", code.alias("code"))
+    order = ["article_id", "ts", "seq", "command"]
+    dealt = coded.repartitionByRange(ranges, *order) if ranges else coded.repartitionByRange(*order)
+    schema = T.StructType([
+        *coded.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("place", T.LongType()),
+        T.StructField("before", T.LongType()), T.StructField("after", T.LongType()),
+    ])
+    return dealt.sortWithinPartitions(*order).mapInArrow(_prefixes, schema)
+
+
+def replay(articles: DataFrame, commands: DataFrame, ranges: int | None = None) -> DataFrame:
     """Run the whole log ``commands(seq, article_id, command, ts)`` in ``(ts, seq)`` order.
 
     One row per command with ``status_before``, ``status_after`` and ``error``; commands
-    on unknown articles come out with null statuses and a not-found error. ``units`` are
-    the time slices from fine to coarse; add finer ones (``millisecond``) for articles with
-    very many commands per second. Keys are filtered once and the steps down are left joins
-    that always match: filters that joins add on their own would differ per level, and then
-    the log would be read and shuffled once per level instead of once. Commands without
-    article or time change nothing and come out with an error.
+    on unknown articles come out with null statuses and a not-found error. Commands without
+    article or time change nothing and come out with an error. The log is read by one job,
+    which writes its commands and functions below the shared folder.
     """
-    def stored(part: Column) -> Column:
-        return part["map"]
-
-    def of_command(part: Column) -> Column:
-        return F.get(_command_table(), part["code"])
-
-    def keys(level: int) -> list[str]:
-        """Keys of a level: the article and the slices it lies in, coarsest first."""
-        return ["article_id", *reversed(units[level:])]
-
-    fields = ["ts", "seq", "command"]
-    slices = [F.date_trunc(unit, "ts").alias(unit) for unit in units]
-    code = _command_index(F.col("command")).alias("code")
-    keyed = commands.select("article_id", *slices, *fields, code)
-    for key in keys(0):
-        keyed = keyed.filter(F.col(key).isNotNull())
-
-    levels = [_ordered(keyed, keys(0), [*fields, "code"], of_command)]
-    for level, unit in enumerate(units, start=1):
-        levels.append(_ordered(levels[-1], keys(level), [unit, "map"], stored))
-
-    base = articles.select(F.col("id").alias("article_id"), "status")
-    rows = levels[-1].join(base, "article_id", "left").withColumn("start", _status_index(F.col("status")))
-    for level in range(len(units), 0, -1):
-        starts = _push_down(rows, keys(level), [units[level - 1]], stored)
-        rows = levels[level - 1].join(starts, keys(level - 1), "left")
-    rows = _push_down(rows, ["article_id"], fields, of_command)
-
-    before = _status_name(F.col("start"))
-    named = rows.withColumn("status_before", before)
+    done = stage(command_functions(commands, ranges), run_dir(commands.sparkSession, "replay"))
+    ends = done.filter(F.col("article_id").isNotNull()).groupBy("article_id", "part").agg(F.max_by("after", "place").alias("after"))
+    base = articles.select(F.col("id").alias("article_id"), _status_index(F.col("status")).alias("stored"))
+    ends = ends.join(base, "article_id", "left").withColumn("stored", F.coalesce("stored", F.lit(MISSING)).cast("int"))
+    in_order = ends.select("article_id", "part", "stored", "after").repartition("article_id").sortWithinPartitions("article_id", "part")
+    schema = T.StructType([done.schema["article_id"], done.schema["part"], T.StructField("start", T.IntegerType())])
+    rows = done.join(in_order.mapInArrow(_range_starts, schema), ["article_id", "part"], "left")
+
+    named = rows.withColumn("status_before", F.when(F.col("ts").isNotNull(), _status_name(_value("before", "start"))))
     status, command = F.col("status_before"), F.col("command")
     missing = F.format_string("Article with id '%s' not found", "article_id")
-    done = named.select(
+    return named.select(
         "seq",
         "article_id",
         "command",
         "ts",
         "status_before",
         F.when(status.isNotNull(), next_status(status, command)).alias("status_after"),
-        F.when(status.isNull(), missing).otherwise(refusal(status, command)).alias("error"),
-    )
-    no_text = F.lit(None).cast("string")
-    refused = commands.filter(F.col("article_id").isNull() | F.col("ts").isNull()).select(
-        "seq", "article_id", "command", "ts", no_text.alias("status_before"), no_text.alias("status_after"),
-        F.when(F.col("article_id").isNull(), "Command without an article").otherwise("Command without a time").alias("error"),
+        F.when(F.col("article_id").isNull(), "Command without an article")
+        .when(F.col("ts").isNull(), "Command without a time")
+        .when(status.isNull(), missing).otherwise(refusal(status, command)).alias("error"),
     )
-    return done.unionByName(refused)
 
 
 def final_statuses(articles: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -73,8 +73,9 @@ def test_replay_equals_one_by_one(spark, seed):
             published[name] = at
         state[name] = after
     assert got == expected
-    fine = li.replay(table, commands, units=("millisecond", "second", "minute", "day"))
-    assert {r.seq: (r.status_before, r.status_after, r.error) for r in fine.collect()} == expected
+    for ranges in (1, 3, 200):
+        cut = li.replay(table, commands, ranges)
+        assert {r.seq: (r.status_before, r.status_after, r.error) for r in cut.collect()} == expected
     ends = {r.id: (r.status, r.published_at) for r in li.final_statuses(table, li.replay(table, commands)).collect()}
     assert ends == {n: (s, published.get(n)) for n, s in state.items()}
 
@@ -92,3 +93,33 @@ def test_commands_without_article_or_time_are_refused(spark):
     out = li.replay(table, spark.createDataFrame(rows, "seq long, article_id string, command string, ts timestamp")).collect()
     assert {r.seq: (r.status_after, r.error) for r in out} == {
         1: ("PUBLISHED", None), 2: (None, "Command without an article"), 3: (None, "Command without a time")}
+
+
+def test_replay_of_nothing(spark):
+    table = spark.createDataFrame([("a", "APPROVED")], "id string, status string")
+    log = spark.createDataFrame([], "seq long, article_id string, command string, ts timestamp")
+    assert li.replay(table, log).count() == 0
+
+
+def test_replay_of_a_million_commands_at_one_time(spark):
+    n, at = 1_000_000, F.lit(datetime(2026, 1, 1)).cast("timestamp")
+    table = spark.createDataFrame([("a", "RAW")], "id string, status string")
+    # submit, approve, publish, archive, and again: each one follows from the one before.
+    turn = F.element_at(F.array(*[F.lit(c) for c in ("submit", "approve", "publish", "archive")]), (F.col("id") % 4 + 1).cast("int"))
+    commands = spark.range(n).select(F.col("id").alias("seq"), F.lit("a").alias("article_id"), turn.alias("command"), at.alias("ts"))
+    out = li.replay(table, commands, ranges=16)
+    before = F.element_at(F.array(*[F.lit(s) for s in ("ARCHIVED", "PENDING_REVIEW", "APPROVED", "PUBLISHED")]), (F.col("seq") % 4 + 1).cast("int"))
+    wrong = out.filter(F.col("error").isNotNull() | (F.col("status_before") != F.when(F.col("seq") == 0, "RAW").otherwise(before)))
+    assert out.count() == n and wrong.count() == 0
+    sizes = [r["count"] for r in li.command_functions(commands, 16).groupBy("part").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < n // 8
+
+
+def test_functions_of_commands_pack():
+    from itertools import product
+
+    maps = li._command_maps()
+    assert li._unpack(maps[-1]) == list(range(len(ARTICLE_STATUSES) + 1))
+    for code, status in product(range(len(li.COMMANDS)), range(len(ARTICLE_STATUSES))):
+        assert ARTICLE_STATUSES[li._unpack(maps[code])[status]] == run_one(ARTICLE_STATUSES[status], li.COMMANDS[code])[0]
+    assert li.BITS * (len(ARTICLE_STATUSES) + 1) < 64

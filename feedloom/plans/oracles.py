@@ -522,9 +522,14 @@ from (select distinct concat('art_', user_id * 7) as article_id from events wher
 left join articles a on a.id = c.article_id"""
 _add("approved_events", "articles", _APPROVED)
 _add("approved_stream", "articles", _APPROVED)
-_add("url_refetch_24h", "requests", f"""select distinct url, {_iso('ts')} as fetch_at from (
-  select *, lag(ts) over (partition by url order by ts) as previous from requests) r
-where previous is null or ts - interval '24' hour >= previous""")
+_REFETCH = f"select url, {_iso('ts')} as fetch_at from fetches"
+_FETCHES = """fetches as (
+  select url, min(ts) as ts from requests where url is not null and ts is not null group by url
+  union all
+  select f.url, min(r.ts) as ts from fetches f join requests r on r.url = f.url and r.ts >= f.ts + interval '24' hour group by f.url)"""
+for _name in ("url_refetch_24h", "url_refetch_stream"):
+    _add(_name, "requests", _REFETCH, _FETCHES)
+    ORACLES[_name] = ORACLES[_name].replace("with ", "with recursive ", 1)
 _add("due_sources", "sources last_fetch", f"""select s.source_id, cast(s.priority as bigint) as priority,
   {_iso('f.last_fetch')} as last_fetch
 from sources s left join last_fetch f on f.source_id = s.source_id

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from feedloom.functions import checks as ck
 from feedloom.functions.dates import iso_utc
@@ -639,6 +640,17 @@ def url_refetch_24h(c: Corpus) -> DataFrame:
     return rf.first_requests(c.requests).select("url", iso_utc(F.col("fetch_at")).alias("fetch_at"))
 
 
+@query
+def url_refetch_stream(c: Corpus) -> DataFrame:
+    requests = rf.first_requests_stream(c.derive("requests", events=_stream(c, "events")))
+
+    def start(out: str, state: str) -> StreamingQuery:
+        writer = requests.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        return writer.trigger(availableNow=True).start()
+
+    return _drain(c, "refetch", start).select("url", iso_utc(F.col("fetch_at")).alias("fetch_at"))
+
+
 @query
 def due_sources(c: Corpus) -> DataFrame:
     due = sc.due_sources(c.sources, c.last_fetch, F.lit(DUE_AT).cast("timestamp"))

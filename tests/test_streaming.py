@@ -1,5 +1,7 @@
+import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from feedloom.operators import lifecycle as li
@@ -93,24 +95,54 @@ def test_messages_are_written_only_to_a_configured_queue(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "q")).collect()) == ['{"articleId":"a"}', '{"articleId":"b"}']
 
 
+def fetch_hours(rows):
+    return sorted((r.url, (r.fetch_at - DAY) / timedelta(hours=1)) for r in rows)
+
+
 def test_refetch_batch_form(spark):
-    hours = [0, 0.5, 23, 47, 47.2, 72, 96]
-    rows = [("u", DAY + timedelta(hours=h)) for h in hours] + [("v", DAY)]
+    # Requests in between (0.5, 23, 47.5) do not put off the next fetch.
+    hours = [0, 0.5, 23, 24, 47.5, 48, 71.9, 96, 120.5, 144]
+    rows = [("u", DAY + timedelta(hours=h)) for h in hours] + [("v", DAY), ("v", DAY), (None, DAY), ("w", None)]
     out = rf.first_requests(spark.createDataFrame(rows, "url string, ts timestamp")).collect()
-    assert sorted((r.url, (r.fetch_at - DAY) / timedelta(hours=1)) for r in out) == [("u", 0), ("u", 47), ("u", 72), ("u", 96), ("v", 0)]
+    assert fetch_hours(out) == [("u", 0), ("u", 24), ("u", 48), ("u", 96), ("u", 120.5), ("v", 0)]
+
+
+def follow(rows):
+    out, free = [], {}
+    for at, url in sorted({(at, url) for url, at in rows}):
+        if url not in free or at >= free[url]:
+            out.append((url, (at - DAY) / timedelta(hours=1)))
+            free[url] = at + timedelta(hours=24)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n", [40, 400, 20_000])
+def test_refetch_equals_one_by_one(spark, n):
+    rng = random.Random(n)
+    # Few requests, and so many that every minute has some: steps inside, to the end of, and over a minute.
+    rows = [(f"u{min(3, int(rng.expovariate(1)))}", DAY + timedelta(microseconds=rng.randrange(6 * 24 * 3600 * 10**6))) for _ in range(n)]
+    rows += [(f"d{k}", DAY + timedelta(hours=24 * d, seconds=rng.randrange(120), microseconds=rng.randrange(3))) for k in range(30) for d in range(5)]
+    out = rf.first_requests(spark.createDataFrame(rows, "url string, ts timestamp")).collect()
+    assert fetch_hours(out) == follow(rows)
+
+
+def test_refetch_of_nothing(spark):
+    assert rf.first_requests(spark.createDataFrame([], "url string, ts timestamp")).count() == 0
 
 
-def test_refetch_stream_forgets_after_the_watermark(spark, tmp_path):
-    inbox, state = str(tmp_path / "in"), str(tmp_path / "state")
-    schema = "url string, ts timestamp"
-    kept = []
+def test_refetch_stream_equals_batch_and_forgets(spark, tmp_path):
+    inbox, state, out = (str(tmp_path / n) for n in ("in", "state", "out"))
+    schema, rows = "url string, ts timestamp", []
     for day in range(6):
-        rows = [("u", DAY + timedelta(days=day, hours=h)) for h in (0, 1)]
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        today = [("u", DAY + timedelta(days=day, hours=h)) for h in (0, 1, 23)] + [(f"only{day}", DAY + timedelta(days=day))]
+        rows += today
+        spark.createDataFrame(today, schema).coalesce(1).write.mode("append").parquet(inbox)
         stream = rf.first_requests_stream(spark.readStream.schema(schema).parquet(inbox))
-        writer = stream.writeStream.foreachBatch(lambda df, _: kept.extend(df.collect()))
-        writer.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    assert kept[0].ts.day == DAY.day and 2 <= len(kept) < 6
+        writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    got = fetch_hours(spark.read.parquet(out).collect())
+    assert got == fetch_hours(rf.first_requests(spark.createDataFrame(rows, schema)).collect()) == follow(rows)
+    assert len(spark.read.format("statestore").load(state).collect()) < 6  # of seven URLs
 
 
 def test_due_sources(spark):

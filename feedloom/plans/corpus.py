@@ -181,12 +181,20 @@ def _tag(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>")), F.lit(""))
 
 
+def _feed_head() -> Column:
+    return F.concat(
+        F.lit('<?xml version="1.0"?><rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/" '
+              'xmlns:content="http://purl.org/rss/1.0/modules/content/" '
+              'xmlns:media="http://search.yahoo.com/mrss/"><channel><title>Feed of '),
+        F.col("source_id"), F.lit("</title>"),
+    )
+
+
 def render_feeds(items: DataFrame) -> DataFrame:
     """RSS documents ``(source_id, feed_no, feed_xml)`` from item rows.
 
     A document covers one range of positions, so it has at most ``ITEMS_PER_FEED_RANGE``
-    items however large its source is. Sources whose id ends in 8 are cut short, which
-    makes their documents malformed.
+    items however large its source is.
     """
     n, image = F.col("item_id"), F.nullif(F.col("image"), F.lit(""))
     author = F.nullif(F.col("author"), F.lit(""))
@@ -220,14 +228,14 @@ def render_feeds(items: DataFrame) -> DataFrame:
     bodies = numbered.groupBy("source_id", "feed_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("entry")), lambda e: e["xml"]), "").alias("body")
     )
-    head = F.concat(
-        F.lit('<?xml version="1.0"?><rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/" '
-              'xmlns:content="http://purl.org/rss/1.0/modules/content/" '
-              'xmlns:media="http://search.yahoo.com/mrss/"><channel><title>Feed of '),
-        F.col("source_id"), F.lit("</title>"),
-    )
-    tail = F.when(F.col("source_id").endswith("8"), "").otherwise("</channel></rss>")
-    return bodies.select("source_id", "feed_no", F.concat(head, "body", tail).alias("feed_xml"))
+    return bodies.select("source_id", "feed_no", F.concat(_feed_head(), "body", F.lit("</channel></rss>")).alias("feed_xml"))
+
+
+def broken_feeds(items: DataFrame) -> DataFrame:
+    """One more document of each source whose id ends in 8, cut off inside its first item."""
+    cut = items.filter(F.col("source_id").endswith("8")).select("source_id").distinct()
+    text = F.concat(_feed_head(), F.lit("<item><title>"))
+    return cut.select("source_id", F.lit(-1).cast("long").alias("feed_no"), text.alias("feed_xml"))
 
 
 class Corpus:
@@ -253,13 +261,15 @@ class Corpus:
         return self.spark.sql(VIEWS[view], **inputs)
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or name not in (*TABLES, *VIEWS, "feeds"):
+        if name.startswith("_") or name not in (*TABLES, *VIEWS, "feeds", "arrived_feeds"):
             raise AttributeError(name)
         if name not in self._built:
             if name in TABLES:
                 self._built[name] = self.table(name)
             elif name == "feeds":
                 self._built[name] = render_feeds(self.items)
+            elif name == "arrived_feeds":
+                self._built[name] = self.feeds.unionByName(broken_feeds(self.items))
             else:
                 self._built[name] = self.derive(name)
         return self._built[name]

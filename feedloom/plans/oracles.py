@@ -40,7 +40,7 @@ _FEED_ITEMS = """feed_items as (
   select item_id, source_id, pos, title, trim(summary) as summary, content, url,
     case when published_at is not null then '2026-07-16T06:00:00.000Z' end as published_at, author, image,
     categories
-  from items where source_id not in ('src_8', 'src_18'))"""
+  from items)"""
 
 
 def _planned(items: str = "items") -> str:
@@ -117,10 +117,10 @@ _add("feed_items", "items", r"""select source_id, item_id // 500 as feed_no,
   author, image from feed_items""", _FEED_ITEMS)
 
 _add("feed_fallback", "items sources fallback_map", """select s.source_id, coalesce(n.n, 0) as item_count,
-  case when n.n > 0 then s.source_id else m.fallback_id end as chosen_id,
-  n.n is null and m.fallback_id is not null as used_fallback,
-  case when n.n is null and m.fallback_id is null then concat('Failed to fetch ', s.source_id, ' RSS') end as error
-from (select distinct source_id from items) s
+  case when works then s.source_id else m.fallback_id end as chosen_id,
+  not works and m.fallback_id is not null as used_fallback,
+  case when not works and m.fallback_id is null then concat('Failed to fetch ', s.source_id, ' RSS') end as error
+from (select distinct source_id, source_id not in ('src_8', 'src_18') as works from items) s
 left join (select source_id, count(*) as n from feed_items group by 1) n on n.source_id = s.source_id
 left join fallback_map m on m.source_id = s.source_id""", _FEED_ITEMS)
 

@@ -72,7 +72,7 @@ def feed_items(c: Corpus) -> DataFrame:
 
 @query
 def feed_fallback(c: Corpus) -> DataFrame:
-    primary = fd.parse_feeds(c.feeds).groupBy("source_id").agg(
+    primary = fd.parse_feeds(c.arrived_feeds).groupBy("source_id").agg(
         F.bool_and("feed_ok").alias("feed_ok"),
         F.sum(F.coalesce(F.size("raw_items"), F.lit(0))).cast("long").alias("item_count"),
     )
@@ -202,7 +202,7 @@ def article_messages(c: Corpus) -> DataFrame:
 
 
 def _run(c: Corpus):
-    return collect_feeds(c.feeds, c.sources, c.crawl, c.stored, as_of())
+    return collect_feeds(c.arrived_feeds, c.sources, c.crawl, c.stored, as_of())
 
 
 @query

@@ -1,11 +1,14 @@
 """Main text of web pages by site template removal.
 
-Every element subtree of a page outside its article gets a hash of its tags, classes and
-words. Spark counts on how many pages of a host each hash stands; subtrees that recur on many
-pages are the site's template and are deleted, together with the parts that HTML itself names
-as something else (menus, headers, footers, sidebars, forms, scripts) and those whose class or
-id says so. The article element is the main text where a page has one; inside it only
-recurring lists of links are template, since an article may quote what others say.
+1. Each page is parsed once. Its text comes out as pieces, each with the hashes of the element
+   subtrees (tags, classes, words) that it stands in, so that pages travel as text and not as
+   html from then on. The parts that HTML itself names as something else (menus, headers,
+   footers, sidebars, forms, scripts), or whose class or id does, give no pieces. Where a page
+   has articles, only they give pieces.
+2. Spark counts on how many different pages of a host each hash stands. A subtree that recurs
+   on many of them is the site's template, inside an article only if at least half of the
+   host's pages have it.
+3. The pieces that stand in a template subtree of their host are deleted, the others joined.
 """
 
 from __future__ import annotations
@@ -16,14 +19,16 @@ from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from feedloom.llm.common import staged
 
-#: Pages of a host on which a subtree recurs at least, and their share of the host's pages.
-LEAST_PAGES, LEAST_SHARE = 5, 0.1
+#: Different pages of a host on which a subtree recurs at least, and their share of the host's
+#: pages, outside and inside an article.
+LEAST_PAGES, LEAST_SHARE, ARTICLE_SHARE = 5, 0.1, 0.5
 
 # HTML's element names by their part in the layout.
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
@@ -50,16 +55,35 @@ ASIDE_WORDS = frozenset(
     "disclaimer footer header menu modal nav navbar navigation newsletter notice notices popup promo promoted related share "
     "sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that say nothing more when they stand beside one of these, as in ``sidebar-left``.
+LAYOUT_WORDS = frozenset(
+    "area bar block bottom box button buttons container content group inner items left line link links list main outer page panel "
+    "post posts right row section site strip top wrap wrapper".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 TAG_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-WORD_OF_NAME = re.compile(r"[a-z]+")
+TAG_REST = re.compile(r"""(?:[^>"'=]+|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+>""")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements inside an article that may be template: not its headings, cells, list items or words.
+ARTICLE_PARTS = frozenset("address blockquote div dl figure hr ol p pre section table ul".split())
 SPACE = re.compile(r"\s+")
+SPACES_ONLY = re.compile(" +")
+
+
+def names_aside(names: str) -> bool:
+    """A class or id that names, as a whole, what isn't main text: ``ad``, ``cookie-notice``,
+    ``sidebar-left``, but not ``has-sidebar``, ``entry-header`` or ``market-share``."""
+    for token in names.split():
+        words = set(token.replace("_", "-").split("-")) - {""}
+        if words & ASIDE_WORDS and words <= ASIDE_WORDS | LAYOUT_WORDS:
+            return True
+    return False
 
 
 class Node:
-    __slots__ = ("aside", "children", "digest", "in_prose", "linked", "names", "tag", "words")
+    __slots__ = ("aside", "children", "content", "digest", "in_prose", "linked", "named", "names", "tag", "words")
 
     def __init__(self, tag: str, attributes: str) -> None:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
@@ -67,26 +91,12 @@ class Node:
         self.children: list[Node | str] = []
         self.digest = self.words = self.linked = 0
         self.in_prose = False  # an inline element beside text: a word of a sentence, never template
-        named = set(WORD_OF_NAME.findall(self.names))
-        content = tag in ("article", "main") or "articlebody" in found.get("itemprop", "").lower()
-        self.aside = tag in NOT_TEXT or "hidden" in found or found.get("role", "").lower() in ROLES or (
-            bool(named & ASIDE_WORDS) and tag not in ("html", "body") and not (content and not named & {"comment", "comments"})
-        )
-
-
-def _tag_end(html: str, at: int) -> int:
-    """Place of the ``>`` that ends the tag at ``at``: not one inside a quoted value, if the quote is closed."""
-    end = html.find(">", at)
-    while end != -1:
-        inside = html[at:end]
-        quote = '"' if inside.count('"') % 2 else "'" if inside.count("'") % 2 and inside.rstrip().find("='") > -1 else ""
-        if not quote:
-            return end
-        closed = html.find(quote, end)
-        if closed == -1 or closed - at > 4096:
-            return end
-        end = html.find(">", closed)
-    return -1
+        self.aside = tag in NOT_TEXT or "hidden" in found or found.get("role", "").lower() in ROLES
+        self.named = tag not in ("html", "body") and names_aside(self.names)
+        comment = self.named and {"comment", "comments"} & set(re.split(r"[\s_-]+", self.names))
+        self.content = not comment and (tag in ("article", "main") or "articlebody" in found.get("itemprop", "").lower())
+        if self.content:
+            self.named = False
 
 
 def parse(html: str) -> Node:
@@ -120,9 +130,10 @@ def parse(html: str) -> Node:
             else:
                 at = end + 1
             continue
-        end = _tag_end(html, named.end())
-        if end == -1:
+        rest = TAG_REST.match(html, named.end())
+        if not rest:
             break  # a tag that is cut off at the end of the page
+        end = rest.end() - 1
         tag, at = named[1].lower(), end + 1
         if html[open_at + 1] == "/":
             for k in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
@@ -185,109 +196,207 @@ def _measure(root: Node) -> None:
         node.digest = xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "replace"))
 
 
-def article(root: Node) -> Node | None:
-    """The article with most words that stands in nothing that isn't main text."""
-    best, todo = None, [root]
+def _settle_names(root: Node) -> None:
+    """Let a class or id count only where it can: an element with all of the page's articles, or on
+    a page without one most of the words that aren't links, is its layout."""
+    order, own_words, articles = [], {}, {}
+    todo = [root]
     for node in todo:
+        if not node.aside:
+            order.append(node)
+            todo += [child for child in node.children if isinstance(child, Node)]
+    for node in reversed(order):
+        below = [child for child in node.children if isinstance(child, Node) and not child.aside]
+        linked = node.tag == "a"
+        text = 0 if linked else sum(len(child.split()) for child in node.children if isinstance(child, str))
+        own_words[id(node)] = 0 if linked else text + sum(own_words[id(child)] for child in below)
+        articles[id(node)] = (node.tag == "article" and node.content) + sum(articles[id(child)] for child in below)
+    for node in order:
+        if node.named:
+            if articles[id(root)]:
+                layout = articles[id(node)] == articles[id(root)]
+            else:
+                layout = own_words[id(node)] * 2 > own_words[id(root)]
+            node.aside = not layout
+
+
+def regions(root: Node) -> list[Node]:
+    """The page's outermost articles; without one its largest main element, else the page."""
+    articles, mains, todo = [], [], [root]
+    while todo:
+        node = todo.pop()
         if node.aside and node is not root:
             continue
-        if node.tag == "article" and (best is None or node.words > best.words):
-            best = node
-        todo += [child for child in node.children if isinstance(child, Node)]
-    if best is None:
-        best = max((n for n in todo if n.tag == "main" and not n.aside), key=lambda n: n.words, default=None)
-    return best
-
-
-def template_candidates(root: Node) -> set[int]:
-    """Hashes of the subtrees that may be template: all outside the article, link lists inside."""
-    inside = article(root)
-    out, todo = set(), [(root, False)]
-    for node, within in todo:
-        within = within or node is inside
-        holds = node is root or node is inside
-        if not holds and not node.in_prose and node.words and (not within or node.linked * 2 > node.words):
-            out.add(node.digest)
-        todo += [(child, within) for child in node.children if isinstance(child, Node)]
+        if node.content and node.tag != "main":
+            articles.append(node)
+            continue
+        if node.tag == "main":
+            mains.append(node)
+        todo += [child for child in reversed(node.children) if isinstance(child, Node)]
+    tagged = [node for node in articles if node.tag == "article"]
+    return tagged or articles or [max(mains, key=lambda node: node.words, default=root)]
+
+
+def _signed(digest: int, inside: bool) -> int:
+    """A hash as a 64-bit number whose lowest bit says whether it stands inside an article."""
+    value = digest & ~1 | inside
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _may_be_template(node: Node, inside: bool) -> bool:
+    return bool(node.words) and not node.in_prose and (node.tag in ARTICLE_PARTS if inside else node.tag not in HEADINGS)
+
+
+class Pieces:
+    """The text of a page in order, cut wherever a subtree that may be template begins or ends."""
+
+    def __init__(self) -> None:
+        self.parts: list[list[str]] = []
+        self.spans: list[list[int]] = []  # hash, first piece, piece after the last
+        self.waiting: list[int] = []  # spans that have no text yet
+        self.cut = self.broken = True
+
+    def text(self, text: str) -> None:
+        if self.broken:
+            # The line break stands before the subtrees that begin here.
+            self._put("\n")
+            self.broken = False
+        if self.waiting:
+            for span in self.waiting:
+                self.spans[span][1] = len(self.parts)
+            self.waiting.clear()
+            self.cut = True
+        self._put(text)
+
+    def _put(self, text: str) -> None:
+        if self.cut:
+            self.parts.append([])
+            self.cut = False
+        self.parts[-1].append(text)
+
+    def begin(self, digest: int) -> int:
+        self.waiting.append(len(self.spans))
+        self.spans.append([digest, -1, -1])
+        return len(self.spans) - 1
+
+    def end(self, span: int) -> None:
+        if self.waiting and self.waiting[-1] == span:
+            self.waiting.pop()  # it has no text of its own
+        self.spans[span][2] = len(self.parts)
+        self.cut = True
+
+
+def text_pieces(root: Node) -> Pieces:
+    """The main text of a page; white space is one blank, a line break stands between blocks."""
+    _settle_names(root)
+    out = Pieces()
+    for start in regions(root):
+        inside = start.content and start.tag != "main"
+        out.broken = True
+        # A number ends a span; None ends a block.
+        todo: list[Node | str | int | None] = [start]
+        while todo:
+            node = todo.pop()
+            if node is None:
+                out.broken = True
+            elif isinstance(node, int):
+                out.end(node)
+            elif isinstance(node, str):
+                if node:
+                    text = SPACE.sub(" ", unescape(node))
+                    if text != " " or not out.broken:
+                        out.text(text)
+            elif node is not start and (node.aside or (node.tag == "header" and not inside)):
+                if not out.broken:
+                    out.text(" ")
+            else:
+                if node.tag == "br" and not out.broken:
+                    out.text(" ")
+                if node is not start and _may_be_template(node, inside):
+                    todo.append(out.begin(_signed(node.digest, inside)))
+                if node.tag in BLOCK:
+                    out.broken = True
+                    todo.append(None)
+                todo += reversed(node.children)
+    out.spans = [span for span in out.spans if 0 <= span[1] < span[2]]
     return out
 
 
-def main_text(root: Node, template: set[int]) -> str:
-    """Blocks of the article, or of the page where it has none, without what is deleted."""
-    start = article(root)
-    within = start is not None
-    start = start or root
-    blocks: list[str] = []
-    inline: list[str] = []
+def kept_text(pieces: list[str], spans: Iterable[tuple[int, int, int]], template: set[int]) -> str:
+    """The pieces that stand in no span of a template hash, one line for each block."""
+    out, at = [], 0
+    for digest, first, end in spans:  # by their begin
+        if first >= at and digest in template:
+            out += pieces[at:first]
+            at = end
+    lines = SPACES_ONLY.sub(" ", "".join(out + pieces[at:])).split("\n")
+    return "\n".join(line for line in map(str.strip, lines) if line)
 
-    def close() -> None:
-        text = SPACE.sub(" ", unescape("".join(inline))).strip()
-        inline.clear()
-        if text:
-            blocks.append(text)
 
-    todo: list[Node | str | None] = [start]
-    while todo:
-        node = todo.pop()
-        if node is None:
-            close()
-        elif isinstance(node, str):
-            inline.append(node)
-        elif node is not start and (
-            node.aside or (node.tag == "header" and not within)
-            or (node.digest in template and not node.in_prose and (not within or node.linked * 2 > node.words))
-        ):
-            inline.append(" ")
-        else:
-            if node.tag == "br":
-                inline.append(" ")
-            block = node.tag in BLOCK
-            if block:
-                close()
-                todo.append(None)
-            todo += reversed(node.children)
-    close()
-    return "\n".join(blocks)
-
-
-def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+PARSED = (
+    "row_id bigint, page_id bigint, url string, host string, content bigint, subtrees array<bigint>, "
+    "firsts array<int>, ends array<int>, pieces array<string>"
+)
+
+
+def _parse_pages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    row_id = TaskContext.get().partitionId() << 33
     for batch in batches:
-        found = [sorted(x - (1 << 64) if x >> 63 else x for x in template_candidates(parse(h or ""))) for h in batch.column("html").to_pylist()]
+        spans, pieces = [], []
+        for html in batch.column("html"):
+            found = text_pieces(parse(html.as_py() or ""))
+            spans.append(found.spans)
+            pieces.append(["".join(part).encode("utf-8", "replace").decode() for part in found.parts])
+        contents = [_signed(xxh3_64_intdigest("".join(p)), False) for p in pieces]
         yield pa.RecordBatch.from_pydict({
-            "page_id": batch.column("page_id"), "page_hash": batch.column("page_hash"), "host": batch.column("host"),
-            "subtrees": pa.array(found, pa.list_(pa.int64())),
+            "row_id": pa.array(range(row_id, row_id + batch.num_rows), pa.int64()),
+            "page_id": batch.column("page_id"), "url": batch.column("url"), "host": batch.column("host"),
+            "content": pa.array(contents, pa.int64()),
+            "subtrees": pa.array([[s[0] for s in of_page] for of_page in spans], pa.list_(pa.int64())),
+            "firsts": pa.array([[s[1] for s in of_page] for of_page in spans], pa.list_(pa.int32())),
+            "ends": pa.array([[s[2] for s in of_page] for of_page in spans], pa.list_(pa.int32())),
+            "pieces": pa.array(pieces, pa.list_(pa.string())),
         })
+        row_id += batch.num_rows
 
 
-def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pages, templates = batch.column("html").to_pylist(), batch.column("template").to_pylist()
-        texts = [main_text(parse(h or ""), {x % (1 << 64) for x in t or ()}) for h, t in zip(pages, templates, strict=True)]
+        columns = [batch.column(name).to_pylist() for name in ("pieces", "subtrees", "firsts", "ends", "template")]
+        texts = [
+            kept_text(pieces, zip(subtrees, firsts, ends, strict=True), set(template or ()))
+            for pieces, subtrees, firsts, ends, template in zip(*columns, strict=True)
+        ]
         yield pa.RecordBatch.from_pydict({
             "page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string()),
-            "n_chars": pa.array([len(t) for t in texts], pa.int64()),
+            "n_chars": pa.array([len(text) for text in texts], pa.int64()),
         })
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def template_subtrees(parsed: DataFrame, least_pages: int, least_share: float, article_share: float) -> DataFrame:
+    """(host, subtree) of the subtrees that recur on enough different pages of their host."""
+    once = parsed.select("host", "content", F.explode("subtrees").alias("subtree")).distinct()
+    sizes = parsed.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    counts = once.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
+    share = F.when(F.col("subtree").bitwiseAND(1) == 1, article_share).otherwise(least_share)
+    return counts.join(sizes, "host").filter(F.col("n") >= F.col("pages") * share).select("host", "subtree")
+
+
+def extract(
+    pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, article_share: float = ARTICLE_SHARE
+) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html).
 
     A null page is empty and gives an empty text. Pages with a null url share the empty host.
-    Rows with equal ids are told apart by their content; repeated rows come back as often as
-    given, and count once for the template. Other columns are left out.
+    Each row is a page of its own; pages of a host with equal text pieces count once for the
+    template. Other columns are left out; an empty table gives an empty one.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    page_hash = F.xxhash64("url", "html")
-    held = pages.select("page_id", "url", "html", page_hash.alias("page_hash"), host.alias("host"))
-    found = staged(held.select("page_id", "page_hash", "host", "html").mapInArrow(
-        _candidates, "page_id bigint, page_hash bigint, host string, subtrees array<bigint>"
-    ), "subtrees")
-    once = found.select("page_id", "page_hash", "host", F.explode("subtrees").alias("subtree")).distinct()
-    sizes = found.groupBy("host").agg(F.count_distinct("page_id", "page_hash").alias("pages"))
-    counts = once.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    recurring = counts.join(sizes, "host").filter(F.col("n") >= F.col("pages") * least_share).select("host", "subtree")
-    of_page = once.join(recurring, ["host", "subtree"]).groupBy("page_id", "page_hash").agg(F.collect_list("subtree").alias("template"))
-    of_page = of_page.withColumnsRenamed({"page_id": "_id", "page_hash": "_hash"})
-    same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("page_hash") == F.col("_hash"))
-    rows = held.join(of_page, same, "left").select("page_id", "url", "html", "template")
-    return rows.mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
+    held = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
+    parsed = staged(held.mapInArrow(_parse_pages, PARSED), "page-pieces")
+    # Both are written before they are joined, so that a subtree or host with very many pages can be split.
+    template = staged(template_subtrees(parsed, least_pages, least_share, article_share), "template")
+    above = parsed.select("row_id", "host", F.explode(F.array_distinct("subtrees")).alias("subtree"))
+    of_page = staged(above.join(template, ["host", "subtree"]).groupBy("row_id").agg(F.collect_list("subtree").alias("template")), "page-template")
+    out = parsed.drop("host", "content").join(of_page, "row_id", "left")
+    return out.mapInArrow(_keep, "page_id bigint, url string, text string, n_chars bigint")

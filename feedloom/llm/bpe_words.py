@@ -38,8 +38,8 @@ from feedloom.llm.common import staged
 BATCH_BYTES = 16 << 20
 #: Bytes of the corpus for each part of the word table.
 PART_BYTES = 16 << 20
-#: Words that the tokenizer gets at once, and words whose ids are put together at once.
-CALL_WORDS, JOIN_WORDS = 4096, 1 << 18
+#: Words that the tokenizer gets at once, and words that are put together at once.
+CALL_WORDS, JOIN_WORDS = 4096, 1 << 16
 ZSTD_LEVEL = 9
 #: The words of a text, white space included, one after the other. Every border is one of the
 #: tokenizer's own cutting whatever follows: a blank goes with what comes after it, a run of
@@ -82,26 +82,32 @@ def _spread(packed: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(packed), kind)
 
 
-def pack_numbers(numbers: np.ndarray) -> bytes:
-    """Numbers below 2^28, seven bits a byte, the lowest first; all but the last byte have bit 7."""
-    numbers = numbers.astype(np.int32)
-    sizes = 1 + sum((numbers >= 1 << 7 * k).astype(np.int8) for k in (1, 2, 3))
-    starts = np.cumsum(sizes, dtype=np.int32) - sizes
-    out = np.zeros(int(sizes.sum(dtype=np.int64)), np.uint8)
+def _number_bytes(numbers: np.ndarray) -> bytes:
+    sizes = 1 + sum((numbers >= 1 << 7 * k).astype(np.int64) for k in (1, 2, 3))
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.uint8)
     for k in range(4):
         has = sizes > k
         out[starts[has] + k] = ((numbers[has] >> 7 * k) & 127) | np.where(sizes[has] > k + 1, 128, 0)
-    return _squeeze(out)
+    return out.tobytes()
+
+
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^28, seven bits a byte, the lowest first; all but the last byte have bit 7."""
+    pieces = [_number_bytes(numbers[i:i + JOIN_WORDS]) for i in range(0, len(numbers), JOIN_WORDS)]
+    return zstandard.compress(b"".join(pieces), ZSTD_LEVEL)
 
 
 def unpack_numbers(packed: bytes) -> np.ndarray:
     out = _spread(packed, np.uint8)
-    ends = np.flatnonzero(out < 128).astype(np.int32)
-    starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int32)[:len(ends)]
+    ends = np.flatnonzero(out < 128)
     numbers = np.zeros(len(ends), np.int32)
-    for k in range(4):
-        has = starts + k <= ends
-        numbers[has] |= (out[starts[has] + k] & 127).astype(np.int32) << 7 * k
+    for i in range(0, len(ends), JOIN_WORDS):
+        last = ends[i:i + JOIN_WORDS]
+        first = np.concatenate([[ends[i - 1] + 1 if i else 0], last[:-1] + 1])
+        for k in range(4):
+            has = first + k <= last
+            numbers[i:i + JOIN_WORDS][has] |= (out[first[has] + k] & 127).astype(np.int32) << 7 * k
     return numbers
 
 
@@ -166,6 +172,7 @@ def _batches(batch_bytes: int, parts: int) -> Callable[[Iterable[pa.RecordBatch]
                 if start < row_batch.num_rows:
                     yield _batch_rows(batch, doc_ids, texts, parts)
                     batch, doc_ids, texts, held = batch + 1, [], [], 0
+                    pa.default_memory_pool().release_unused()
         if texts:
             yield _batch_rows(batch, doc_ids, texts, parts)
     return run
@@ -245,7 +252,7 @@ class IdLists:
         return lists
 
 
-def _assemble(kind: str, pieces: list[bytes]) -> Callable[[tuple[pa.Scalar, ...], pa.Table, pa.Table], pa.Table]:
+def _assemble(kind: str, pieces: list[bytes], as_bytes: bool) -> Callable[[tuple[pa.Scalar, ...], pa.Table, pa.Table], pa.Table]:
     def run(key: tuple[pa.Scalar, ...], batches: pa.Table, answers: pa.Table) -> pa.Table:
         of_part = dict(zip(answers.column("part").to_pylist(), answers.column("ids").to_pylist(), strict=True))
         batch = batches.to_pylist()[0]
@@ -260,21 +267,27 @@ def _assemble(kind: str, pieces: list[bytes]) -> Callable[[tuple[pa.Scalar, ...]
                 b"".join([pieces[i] for i in ids[a:b].tolist()]).decode("utf-8", "replace")
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
             ]
+            if as_bytes:
+                out_ids = pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+            else:
+                out_ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))
             out.append(pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(batch["doc_ids"][first:stop], pa.int64()),
-                "ids": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32())),
-                "ids_bytes": pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                "ids": out_ids,
                 "decoded": pa.array(decoded, pa.string()),
             }))
             first = stop
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out)
     return run
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, batch_bytes: int = BATCH_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
-    """(doc_id, ids, ids_bytes, decoded) of every row of ``docs`` (doc_id, text).
+def encode_decode(
+    docs: DataFrame, tokenizer: str, batch_bytes: int = BATCH_BYTES, part_bytes: int = PART_BYTES, as_bytes: bool = False
+) -> DataFrame:
+    """(doc_id, ids, decoded) of every row of ``docs`` (doc_id, text).
 
-    ``ids_bytes`` are the ids as little-endian unsigned 32-bit integers. ``tokenizer`` is the path of a byte-level tokenizer file; it is read on the driver only. A
+    ``ids`` is an array, or ``as_bytes`` little-endian unsigned 32-bit integers. ``tokenizer`` is the path of a byte-level tokenizer file; it is read on the driver only. A
     null or empty text, or one without a word, has no ids and decodes to an empty text. Rows
     with equal or null ids, and repeated rows, are encoded row by row. Other columns are left
     out; an empty table gives an empty one.
@@ -290,13 +303,13 @@ def encode_decode(docs: DataFrame, tokenizer: str, batch_bytes: int = BATCH_BYTE
     answers = packs.groupBy("part").applyInArrow(_encode(tokenizer_json, kind), "asked_by bigint, part int, ids binary")
     batches = cut.filter("part = -1").select("batch", "doc_ids", "n_words", "numbers", "parts")
     return batches.groupBy("batch").cogroup(answers.groupBy("asked_by")).applyInArrow(
-        _assemble(kind, pieces), "doc_id bigint, ids array<int>, ids_bytes binary, decoded string"
+        _assemble(kind, pieces, as_bytes), f"doc_id bigint, ids {'binary' if as_bytes else 'array<int>'}, decoded string"
     )
 
 
 def digests(coded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of texts encoded ``as_bytes``."""
     return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_bytes", 256).alias("ids_sha256"),
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )

@@ -75,7 +75,7 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe_words.digests(bpe_words.encode_decode(table(spark, sf_dir, "documents"), tokenizer))
+    return bpe_words.digests(bpe_words.encode_decode(table(spark, sf_dir, "documents"), tokenizer, as_bytes=True))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

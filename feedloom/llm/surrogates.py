@@ -22,15 +22,17 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.common import let, staged
 
-#: Rounds after which the values of a type must have found distinct surrogates.
-MAX_ROUNDS = 60
+#: Rounds after which the values of a type must have found distinct surrogates, and rounds after
+#: which a mailbox gets one more letter, so that small domains cannot run out of names.
+MAX_ROUNDS, ROUNDS_A_LETTER = 60, 3
 
 # Titles by gender, letters by script, and the patterns of the entities.
 MALE = "Mr|Sir|Herr|Herrn|Monsieur|M|Señor|Sr|Don|Господин|господин|Г-н|г-н"
 FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|Doña|Госпожа|госпожа|Г-жа|г-жа"
-NAME_WORD = r"\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)*"
+# Repeated groups are possessive: Java follows others by recursion, and a long match ends the JVM.
+NAME_WORD = r"\p{Lu}\p{Ll}++(?:[-'’]\p{Lu}\p{Ll}++)*+"
 NAME = rf"\b(?:{MALE}|{FEMALE})\b\.?\x20{NAME_WORD}(?:\x20{NAME_WORD}){{0,2}}"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IPV4 = r"(?<![A-Za-z0-9.])\d{1,3}(?:\.\d{1,3}){3}(?![A-Za-z0-9]|\.\d)"
 ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"(?<![A-Za-z0-9+])(?:\d{13,19}|\d{4}([\x20-])\d{4}\1\d{4}\1\d{4}|\d{4}([\x20-])\d{6}\2\d{5})(?![A-Za-z0-9])"
@@ -43,6 +45,7 @@ PHONE = (
 TYPES = {"name": NAME, "email": EMAIL, "ip": IPV4, "account": ACCOUNT, "card": CARD, "tax": TAX, "phone": PHONE}
 # Back references count through the whole pattern.
 ANY = "|".join(TYPES.values())
+LOWER = "abcdefghijklmnopqrstuvwxyz"
 LATIN = ("aeiou", "bdfgklmnprstvz")
 CYRILLIC = ("аеиоу", "бвгдзклмнпрст")
 #: What every text with an entity has.
@@ -87,14 +90,14 @@ def entities(text: Column) -> Column:
 
 
 def _draws(key: str, attempt: Column) -> Column:
-    """A hexadecimal string of the keyed hash, repeated to the value's length."""
+    """The keyed hash in hexadecimal, twice, so that draws may run over its end."""
     digest = F.sha2(F.concat_ws("\x00", F.lit(key), F.col("type"), F.col("value"), attempt.cast("string")), 512)
-    return F.repeat(digest, (F.floor(F.length("value") / 32) + 1).cast("int"))
+    return F.repeat(digest, 2)
 
 
 def _draw(draws: Column, i: Column, among: Column | int) -> Column:
-    """The ``i``-th number drawn, below ``among``."""
-    two = F.conv(F.substr(draws, i * 2 + 1, F.lit(4)), 16, 10).cast("int")
+    """The ``i``-th number drawn, below ``among``; the hash begins again after 64 draws."""
+    two = F.conv(F.substr(draws, F.pmod(i, F.lit(64)) * 2 + 1, F.lit(4)), 16, 10).cast("int")
     return F.pmod(two, F.lit(among) if isinstance(among, int) else among)
 
 
@@ -107,30 +110,36 @@ def candidate(key: str, attempt: Column) -> Column:
         return F.substr(F.lit(letters), _draw(d, i, len(letters)) + 1, F.lit(1))
 
     def alike(c: Column, i: Column, d: Column) -> Column:
-        lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-        return F.when(c.rlike("[0-9]"), pick("0123456789", i, d)).when(c.rlike("[a-z]"), pick(lower, i, d)).when(
-            c.rlike("[A-Z]"), pick(upper, i, d)).otherwise(c)
+        return F.when(c.rlike("[0-9]"), pick("0123456789", i, d)).when(c.rlike("[a-z]"), pick(LOWER, i, d)).when(
+            c.rlike("[A-Z]"), pick(LOWER.upper(), i, d)).otherwise(c)
 
     def spelled(d: Column) -> Column:
-        cyrillic = F.col("value").rlike(r"\p{IsCyrillic}")
         size = F.greatest(F.size(chars), F.lit(6))
-        turn = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.when(i % 2 == 0, F.when(
-            cyrillic, pick(CYRILLIC[1], i, d)).otherwise(pick(LATIN[1], i, d))
-        ).otherwise(F.when(cyrillic, pick(CYRILLIC[0], i, d)).otherwise(pick(LATIN[0], i, d))))
-        ending = F.when(F.col("type") == "given_f", F.when(cyrillic, "на").otherwise("na")).when(
-            F.col("type") == "given_m", F.when(cyrillic, "с").otherwise("s")).otherwise("")
-        return F.concat(F.array_join(turn, ""), ending)
+
+        # ``let`` tells the script once, not for each letter.
+        def letters(cyrillic: Column) -> Column:
+            turn = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.when(i % 2 == 0, F.when(
+                cyrillic, pick(CYRILLIC[1], i, d)).otherwise(pick(LATIN[1], i, d))
+            ).otherwise(F.when(cyrillic, pick(CYRILLIC[0], i, d)).otherwise(pick(LATIN[0], i, d))))
+            ending = F.when(F.col("type") == "given_f", F.when(cyrillic, "на").otherwise("na")).when(
+                F.col("type") == "given_m", F.when(cyrillic, "с").otherwise("s")).otherwise("")
+            return F.concat(F.array_join(turn, ""), ending)
+
+        return let(F.col("value").rlike(r"\p{IsCyrillic}"), letters)
 
     def same_form(d: Column) -> Column:
         return F.array_join(F.transform(chars, lambda c, i: alike(c, i, d)), "")
 
     def mail(d: Column) -> Column:
         # The domain's own hash, so that addresses of one domain stay together; its last label stays.
-        at = F.instr("value", "@")
+        domain = F.repeat(F.sha2(F.concat_ws("\x00", F.lit(key), F.lit("domain"), F.substring_index("value", "@", -1)), 512), 2)
         fixed = F.length("value") - F.length(F.substring_index("value", ".", -1)) - 1
-        domain = F.repeat(F.sha2(F.concat_ws("\x00", F.lit(key), F.lit("domain"), F.substring_index("value", "@", -1)), 512), 8)
-        return F.array_join(F.transform(chars, lambda c, i: F.when(i >= fixed, c).when(
-            i < at, alike(c, i, d)).otherwise(alike(c, F.pmod(i - at, F.lit(500)), domain))), "")
+        known = F.struct(F.instr("value", "@").alias("at"), fixed.alias("fixed"), domain.alias("domain"))
+        longer = F.transform(F.sequence(F.lit(1), F.floor(attempt / ROUNDS_A_LETTER).cast("int")), lambda i: pick(LOWER, i + 31, d))
+        longer = F.when(attempt >= ROUNDS_A_LETTER, F.array_join(longer, "")).otherwise("")
+        same = let(known, lambda k: F.array_join(F.transform(chars, lambda c, i: F.when(i >= k["fixed"], c).when(
+            i < k["at"], alike(c, i, d)).otherwise(alike(c, i - k["at"], k["domain"]))), ""))
+        return F.concat(longer, same)
 
     def address(d: Column) -> Column:
         return F.array_join(F.transform(F.split("value", r"\."), lambda _, i: (_draw(d, i * 3, 254) + 1).cast("string")), ".")

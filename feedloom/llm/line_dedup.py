@@ -35,7 +35,7 @@ _BASE = 0x9E3779B97F4A7C15
 
 def sequences(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, hashes, sizes): line hashes and word counts of each row with an id."""
-    lines = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, rf"^{SPACES}|{SPACES}$", ""))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")))
     held = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), lines.alias("lines"))
     size: Column = F.transform("lines", lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, SPACES))))
     return held.select("doc_id", "text_hash", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), size.alias("sizes"))

@@ -14,10 +14,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import gapless_rank, staged, words
+from feedloom.llm.common import gapless_rank, let, staged, words
 
 MAX_TOKENS, N_BUCKETS, BATCH_TOKENS = 2048, 16, 16384
 
@@ -70,15 +70,18 @@ def sequences(docs: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
 
 def with_texts(packed: DataFrame, docs: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """``packed`` with each sequence's ``text``. A text that is cut keeps its white space: that
-    after a word goes with the word, that before the first is dropped."""
+    after a word goes with the word, that before the first is dropped. A text is cut once into
+    all of its sequences."""
+    def cut(word_by_word: Column) -> Column:
+        last = F.floor((F.size(word_by_word) - 1) / max_tokens).cast("int")
+        several = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(word_by_word, i * max_tokens + 1, F.lit(max_tokens)), ""))
+        return F.when(F.size(word_by_word) < max_tokens, F.array(F.col("_text"))).otherwise(several)
+
     texts = docs.groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(F.any_value("text").alias("_text"))
-    texts = texts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_text")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    joined = packed.join(texts, same).drop("_id", "_hash")
     word_by_word = F.split(F.ltrim("_text", F.lit(" \t\n\x0b\x0c\r")), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    cut = F.array_join(F.slice(word_by_word, F.col("first_token") + 1, F.col("n_tokens")), "")
-    whole = (F.col("chunk") == 0) & (F.col("n_tokens") < max_tokens)
-    return joined.withColumn("text", F.when(whole, F.col("_text")).otherwise(cut)).drop("_text")
+    chunks = texts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.posexplode(let(word_by_word, cut)).alias("_chunk", "text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")) & (F.col("chunk") == F.col("_chunk"))
+    return packed.join(chunks, same).drop("_id", "_hash", "_chunk")
 
 
 def pack(

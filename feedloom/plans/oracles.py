@@ -211,6 +211,12 @@ _add("collect_errors", "items sources stored", "select kind, id, message from er
 _add("collect_error_counts", "items sources stored",
      "select kind, count(*) as n_errors from errors group by kind", *_RUN)
 
+_add("feed_stream_articles", "items sources stored", _ARTICLE, *_RUN)
+ORACLES["feed_stream_errors"] = ORACLES["collect_errors"]
+_add("feed_stream_counters", "items sources stored", """select
+  (select count(*) from created) as articles_created,
+  (select count(*) from errors where kind = 'source') as failed_sources, (select count(*) from errors) as error_count""", *_RUN)
+
 _SOURCE_ISSUES = f"""source_issues as (
   select page_id, 'name' as path, 'Name is required' as message from source_candidates where name = ''
   union all select page_id, 'type', 'Type is required' from source_candidates where type is null

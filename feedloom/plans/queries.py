@@ -635,6 +635,33 @@ def scheduled_collect(c: Corpus) -> DataFrame:
     return _article_columns(_drain(c, "collect", lambda out, state: sc.run_collection(arrivals, collect, out, state)))
 
 
+def _feed_stream(c: Corpus) -> str:
+    """Collect the feed documents as they arrive in files, one source after the other."""
+    root = run_dir(c.spark, "feed-stream")
+    c.arrived_feeds.repartition(3, "source_id").write.parquet(f"{root}/feeds")
+    feeds = c.spark.readStream.schema("source_id string, feed_no long, feed_xml string").option("maxFilesPerTrigger", 1).parquet(f"{root}/feeds")
+    stream = sc.run_feed_collection(
+        feeds, lambda: c.sources, lambda: c.crawl, lambda: c.stored, f"{root}/out", f"{root}/state", as_of())
+    stream.awaitTermination()
+    return f"{root}/out"
+
+
+@query
+def feed_stream_articles(c: Corpus) -> DataFrame:
+    return _article_columns(sc.read_output(c.spark, _feed_stream(c), "articles"))
+
+
+@query
+def feed_stream_errors(c: Corpus) -> DataFrame:
+    return sc.read_output(c.spark, _feed_stream(c), "errors").drop("epoch")
+
+
+@query
+def feed_stream_counters(c: Corpus) -> DataFrame:
+    counters = sc.read_output(c.spark, _feed_stream(c), "summary")
+    return counters.agg(*[F.sum(n).alias(n) for n in ("articles_created", "failed_sources", "error_count")])
+
+
 @query
 def url_refetch_24h(c: Corpus) -> DataFrame:
     return rf.first_requests(c.requests).select("url", iso_utc(F.col("fetch_at")).alias("fetch_at"))

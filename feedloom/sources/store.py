@@ -7,6 +7,7 @@ nothing is overwritten while it is read.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 from pathlib import Path
 from uuid import uuid4
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+#: Epochs between two snapshots of a log's state.
+COMPACT_EVERY = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -90,6 +93,50 @@ def read_batches(
     return rows.drop("batch")
 
 
+def _existing(spark: SparkSession, paths: list[str], schema: T.StructType) -> list[str]:
+    """The paths that are there; each is only analysed."""
+    found = []
+    for path in paths:
+        try:
+            spark.read.schema(schema).parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            found.append(path)
+    return found
+
+
+def state_paths(root: str, epoch: int, every: int = COMPACT_EVERY) -> list[str]:
+    """Where the rows appended before ``epoch`` stand: the newest snapshot and later batches,
+    ``every`` folders at most."""
+    last = epoch // every * every
+    snapshot = [f"{root}-snapshots/before={last}"] if last else []
+    return [*snapshot, *[f"{root}/batch={n}" for n in range(last, epoch)]]
+
+
+def state_before(
+    spark: SparkSession, root: str, schema: T.StructType, epoch: int,
+    reduce: Callable[[DataFrame], DataFrame], every: int = COMPACT_EVERY,
+) -> DataFrame:
+    """What the batches appended before ``epoch`` come to.
+
+    ``reduce`` brings rows in ``schema`` to the rows that count, and may be applied again to
+    its own results. Every ``every`` epochs the state is written as a snapshot, so that later
+    epochs read this and the batches since. A replayed epoch writes the same snapshot again.
+    """
+    if epoch and epoch % every == 0:
+        paths = state_paths(root, epoch - 1, every) + [f"{root}/batch={epoch - 1}"]
+        _rows_of(spark, paths, schema, reduce).write.mode("overwrite").parquet(f"{root}-snapshots/before={epoch}")
+    return _rows_of(spark, state_paths(root, epoch, every), schema, reduce)
+
+
+def _rows_of(spark: SparkSession, paths: list[str], schema: T.StructType, reduce: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    present = _existing(spark, paths, schema)
+    rows = spark.read.schema(schema).parquet(*present) if present else spark.createDataFrame([], schema)
+    return reduce(rows)
+
+
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
     """Save as a table bucketed by ``key``: joins and anti joins on it do not shuffle it."""
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)

@@ -2,7 +2,8 @@
 
 The article table is not rewritten per batch. Each batch appends the outcome of its
 commands and the resulting statuses; the current status of an article is its newest
-appended one, else the stored one, looked up for the articles of the batch only.
+appended one, else the stored one, looked up for the articles of the batch only. The
+appended statuses are compacted now and then, so a batch reads a bounded number of folders.
 """
 
 from __future__ import annotations
@@ -15,15 +16,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from feedloom.operators.joins import batch_join, probe
 from feedloom.operators.lifecycle import final_statuses, replay
-from feedloom.sources.store import append_batch, read_batches
+from feedloom.sources.store import append_batch, state_before
 
 STATUS_SCHEMA = "id string, status string, published_at timestamp, epoch long"
 
 
+def newest(changes: DataFrame) -> DataFrame:
+    """The last of the appended ``changes`` of each article."""
+    last = F.max_by(F.struct("status", "published_at", "epoch"), F.col("epoch")).alias("_now")
+    return changes.groupBy("id").agg(last).select("id", "_now.*")
+
+
 def current_statuses(articles: DataFrame, changes: DataFrame) -> DataFrame:
     """``(id, status, published_at)`` after the appended ``changes``."""
-    newest = F.max_by(F.struct("status", "published_at"), F.col("epoch")).alias("_now")
-    latest = changes.groupBy("id").agg(newest)
+    latest = newest(changes).select("id", F.struct("status", "published_at").alias("_now"))
     joined = batch_join(articles.select("id", "status", "published_at"), latest, "id")
     hit = F.col("_now").isNotNull()
     return joined.select(
@@ -36,7 +42,7 @@ def current_statuses(articles: DataFrame, changes: DataFrame) -> DataFrame:
 def statuses_before(articles: DataFrame, ids: DataFrame, log: str, epoch: int) -> DataFrame:
     """``current_statuses`` of the articles ``ids`` (id) as they were before a batch."""
     schema = articles.sparkSession.createDataFrame([], STATUS_SCHEMA).schema
-    changes = read_batches(articles.sparkSession, log, schema, before=epoch)
+    changes = state_before(articles.sparkSession, log, schema, epoch, newest)
     table = articles.select("id", "status", "published_at")
     return current_statuses(probe(table, ids, "id"), probe(changes, ids, "id"))
 

@@ -138,12 +138,11 @@ def test_patience():
 # Benchmark windows
 
 
-@given
-def test_benchmark_windows(spark, docs, texts):
-    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+def brute_windows(of_text, texts):
+    """Best similarity of 0.8 or more of every (document, item) over all windows."""
     tokens = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
     cut = lambda t: [tuple(w[k:k + 5]) for w in [tokens(t)] for k in range(len(w) - 4)]
-    of_item = {r.item_id: cut(r.text) for r in items.collect()}
+    of_item = {i: cut(t) for i, t in of_text.items()}
     having = Counter(g for gs in of_item.values() for g in set(gs))
     n = len(of_item)
     weight = lambda g: math.log1p(n / having[g]) / math.log1p(n) if g in having else 1.0
@@ -160,10 +159,42 @@ def test_benchmark_windows(spark, docs, texts):
                 best = max(best, common / (sum(weight(x) * c for w in (a, b) for x, c in w.items()) - common))
             if best >= 0.8:
                 expected[i, k] = round(best, 6)
+    return expected
+
+
+@given
+def test_benchmark_windows(spark, docs, texts):
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    expected = brute_windows({r.item_id: r.text for r in items.collect()}, texts)
     got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in decontaminate.contaminated(docs, items).collect()}
     assert got == expected and got
 
 
+def test_benchmark_windows_of_templates_and_of_moved_parts(spark):
+    """Items of one template, documents with the template and another end, with the halves of an item
+    exchanged, with words put between, and shorter than the item."""
+    rng = random.Random(5)
+    words_of = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    template = words_of(44)
+    items = {i: " ".join([*template, f"end{i % 2}"]) for i in range(60)}
+    own = {100 + i: words_of(rng.randrange(60, 90)) for i in range(10)}
+    items |= {i: " ".join(w) for i, w in own.items()}
+    texts = {i: " ".join([*words_of(rng.randrange(20)), *template, f"x{i}", *words_of(rng.randrange(20))]) for i in range(20)}
+    for i, w in own.items():
+        half = len(w) // 2
+        texts[1000 + i] = " ".join([*words_of(9), *w[half:], *w[:half], *words_of(9)])
+        texts[2000 + i] = " ".join([*words_of(5), *w[:half], "put", "in", *w[half:], *words_of(5)])
+        texts[3000 + i] = " ".join(w[: len(w) * 9 // 10])
+        texts[4000 + i] = " ".join([*w[:half], *words_of(half)])
+    frame = lambda rows, name: spark.createDataFrame(list(rows.items()), f"{name} bigint, text string")
+    out = decontaminate.contaminated(frame(texts, "doc_id"), frame(items, "item_id"))
+    got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in out.collect()}
+    expected = brute_windows(items, texts)
+    assert got == expected
+    assert {d for d, _ in got} >= set(range(20)) | {1000 + i for i in own} | {3000 + i for i in own}
+    assert not {4000 + i for i in own} & {d for d, _ in got}
+
+
 def test_hamming_index_finds_the_whole_radius(spark):
     rng = random.Random(1)
     pairs = []

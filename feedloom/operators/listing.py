@@ -6,11 +6,14 @@ wide records of the page with ``page_details``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.operators.joins import MAX_WIDE_BROADCAST_ROWS, probe_join
 from feedloom.schemas import DEFAULT_PAGE_LIMIT
+from feedloom.sources.store import run_dir, stage
+
+DEEP_PAGE_ROWS = 100_000
 
 ORDER_COLUMNS = {"createdAt": "created_at", "publishedAt": "published_at", "title": "slug"}
 
@@ -50,13 +53,33 @@ def order_by(field: str, direction: str = "ASC") -> list[Column]:
 
 
 def page(df: DataFrame, order: list[Column], limit: int | None, offset: int = 0) -> DataFrame:
-    """Ordered slice; no limit or limit 0 means everything after the offset."""
+    """Ordered slice; no limit or limit 0 means everything after the offset.
+
+    Up to ``DEEP_PAGE_ROWS`` each task keeps its first rows in memory; a deeper page is cut
+    from a sorted table by the row counts of its ranges.
+    """
+    if limit and offset + limit > DEEP_PAGE_ROWS:
+        return deep_page(df, order, limit, offset)
     out = df.orderBy(*order)
     if offset:
         out = out.offset(offset)
     return out.limit(limit) if limit else out
 
 
+def deep_page(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
+    """Ordered slice at any offset: the rows are sorted in ranges and written once; the counts of
+    the ranges, one row each, give every row its position."""
+    numbered = df.orderBy(*order).withColumn("_row", F.monotonically_increasing_id())
+    numbered = stage(numbered, run_dir(df.sparkSession, "page")).withColumn("_range", F.shiftright("_row", 33))
+    counts = numbered.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = F.col("_row") - F.shiftleft("_range", 33)
+    placed = numbered.join(F.broadcast(starts), "_range").withColumn("_position", F.col("_start") + inside)
+    wanted = placed.filter((F.col("_position") >= offset) & (F.col("_position") < offset + limit))
+    return wanted.orderBy("_position").select(*df.columns)
+
+
 def list_articles(
     articles: DataFrame,
     *,
@@ -105,6 +128,26 @@ def article_page(articles: DataFrame, *, limit: int = DEFAULT_PAGE_LIMIT, offset
     })
 
 
+def article_answer(articles: DataFrame, *, limit: int = DEFAULT_PAGE_LIMIT, offset: int = 0, **options) -> DataFrame:
+    """One row ``(total, limit, offset, items)``: the page as an array in its order.
+
+    A page past the end, and a listing without a match, give an empty array and the total.
+    Needs a limit, which bounds the array.
+    """
+    if limit < 1:
+        raise ValueError("an answer needs a limit")
+    rows = list_articles(articles, limit=limit, offset=offset, **options)
+    placed = rows.select(F.monotonically_increasing_id().alias("_place"), F.struct(*articles.columns).alias("_item"))
+    items = F.transform(F.sort_array(F.collect_list(F.struct("_place", "_item"))), lambda x: x["_item"])
+    filters = {k: v for k, v in options.items() if k not in ("order_field", "direction")}
+    return placed.agg(items.alias("items")).select(
+        count_articles(articles, **filters).scalar().alias("total"),
+        F.lit(limit).cast("long").alias("limit"),
+        F.lit(offset).cast("long").alias("offset"),
+        "items",
+    )
+
+
 def find_by_status(articles: DataFrame, status: str, limit: int | None = None, offset: int = 0) -> DataFrame:
     return page(filter_articles(articles, status=status), order_by("createdAt"), limit, offset)
 

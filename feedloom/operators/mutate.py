@@ -156,14 +156,34 @@ def patch_sources(table: DataFrame, patches: DataFrame, as_of: Column, order: st
     return apply_patches(table, combined, "source_id", SOURCE_PATCH_FIELDS, as_of)
 
 
-def patch_ai(table: DataFrame, patches: DataFrame, as_of: Column, mode: str = "merge") -> DataFrame:
-    """Patch the nested ``ai`` record from ``patches(id, ai, ai_fields)``, one row per id.
+def combine_ai_patches(patches: DataFrame, order: str) -> DataFrame:
+    """Successive ``ai`` patches of one id to one: the last value set wins, field by field."""
+    def last(name: str) -> Column:
+        given = F.array_contains("ai_fields", name)
+        return F.max_by(F.struct(F.col("ai")[name].alias("v")), F.when(given, F.col(order))).alias(name)
+
+    combined = patches.groupBy("id").agg(*[last(n) for n in AI_FIELDS])
+    named = F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n in AI_FIELDS]))
+    return combined.select("id", F.struct(*[F.col(f"{n}.v").alias(n) for n in AI_FIELDS]).alias("ai"), named.alias("ai_fields"))
+
+
+def patch_ai(
+    table: DataFrame, patches: DataFrame, as_of: Column, mode: str = "merge", order: str = "seq"
+) -> DataFrame:
+    """Patch the nested ``ai`` record from ``patches(id, ai, ai_fields)``: one row per id, or
+    any number with their ``order``. Of several, the last value of each field counts in a
+    merge, and the last patch in a replacement.
 
     ``merge`` changes the fields named in ``ai_fields`` only. ``replace`` gives every
     field that is not named its default, as an update that passes through validation does.
     """
     if mode not in ("merge", "replace"):
         raise ValueError(f"unknown ai mode: {mode}")
+    if order in patches.columns and mode == "merge":
+        patches = combine_ai_patches(patches, order)
+    elif order in patches.columns:
+        last = F.max_by(F.struct("id", "ai", "ai_fields"), F.col(order)).alias("_last")
+        patches = patches.groupBy("id").agg(last).select("_last.*")
     patch = patches.select("id", F.col("ai").alias("_ai"), F.col("ai_fields").alias("_set"))
     base = F.col("ai") if mode == "merge" else empty_ai()
     fields = [

@@ -180,6 +180,8 @@ _add("collect_log", "items sources", """select item_title as title, strategy,
   author_source, image_source, content_source from merged""", *_CHAIN)
 _add("rejected_items", "items sources", """select item_id, path, message, 'VALIDATION_ERROR' as error_code,
   400::bigint as status_code from issues""", *_CHAIN, _ISSUES)
+_add("rejected_details", "items sources", """select item_id, path, string_agg(message, '; ' order by message) as messages
+  from issues group by item_id, path""", *_CHAIN, _ISSUES)
 _add("primitive_checks", "items", f"""select item_id, 'uuid' as path, 'Invalid uuid' as message
   from items where item_id % 2 = 1
 union all select item_id, 'text', 'Must not be empty' from items where title = ''
@@ -264,6 +266,18 @@ _add("status_totals", "articles", "select status, count(*) as total from article
 _add("source_totals", "articles", "select source_id, count(*) as total from articles group by source_id")
 _add("lookup_ids", "articles commands", """select c.id, a.id is not null as found, a.slug, a.status
 from (select distinct article_id as id from commands) c left join articles a on a.id = c.id""")
+_add("lookup_sources", "sources fallback_map", """select w.source_id, s.source_id is not null as found, s.name, s.status
+from (select distinct fallback_id as source_id from fallback_map) w left join sources s on s.source_id = w.source_id""")
+
+
+def _answer(offset: int) -> str:
+    return f"""select (select count(*) from articles where category_id = 'cat_2') as total, 20::bigint as "limit",
+  {offset}::bigint as "offset", coalesce(string_agg(id, ',' order by created_at desc, id), '') as ids
+from (select id, created_at from articles where category_id = 'cat_2' order by created_at desc, id limit 20 offset {offset})"""
+
+
+_add("list_answer", "articles", _answer(5))
+_add("list_answer_past_end", "articles", _answer(1_000_000_000))
 _NOT_FOUND = """concat('Article with id ''', id, ''' not found') as message, 'NOT_FOUND' as error_code,
   404::bigint as status_code"""
 _add("lookup_missing", "articles commands", f"""select id, {_NOT_FOUND}

@@ -165,6 +165,14 @@ def rejected_items(c: Corpus) -> DataFrame:
     return issues.select("item_id", "path", "message", "error_code", *_long("status_code"))
 
 
+@query
+def rejected_details(c: Corpus) -> DataFrame:
+    """The messages of each rejected item by path."""
+    checked = va.with_errors(_merged(c), va.article_issues())
+    rows = va.rejected_rows(checked).select("item_id", F.explode("details").alias("path", "messages"))
+    return rows.select("item_id", "path", F.array_join(F.sort_array("messages"), "; ").alias("messages"))
+
+
 @query
 def primitive_checks(c: Corpus) -> DataFrame:
     digest = F.md5(F.col("item_id").cast("string"))
@@ -322,6 +330,28 @@ def lookup_ids(c: Corpus) -> DataFrame:
     return found.select("id", "found", "slug", "status")
 
 
+@query
+def lookup_sources(c: Corpus) -> DataFrame:
+    wanted = c.fallback_map.select(F.col("fallback_id").alias("source_id"))
+    return ls.find_ids(c.sources, wanted, "source_id").select("source_id", "found", "name", "status")
+
+
+def _answer(answer: DataFrame) -> DataFrame:
+    return answer.select("total", "limit", "offset", F.array_join(F.col("items.id"), ",").alias("ids"))
+
+
+@query
+def list_answer(c: Corpus) -> DataFrame:
+    """A page as one row with its total."""
+    return _answer(ls.article_answer(_card(c.articles), category_id="cat_2", offset=5))
+
+
+@query
+def list_answer_past_end(c: Corpus) -> DataFrame:
+    """A page past the end, which has no item but the total."""
+    return _answer(ls.article_answer(_card(c.articles), category_id="cat_2", offset=1_000_000_000))
+
+
 @query
 def lookup_missing(c: Corpus) -> DataFrame:
     ids = c.commands.select(F.col("article_id").alias("id"))

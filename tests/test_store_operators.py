@@ -94,6 +94,12 @@ def test_ai_patch_modes(spark, article):
     assert (replaced.ai.title, replaced.ai.model, replaced.ai.keywords) == (None, "m2", [])
     nulled = mu.patch_ai(first, patch(None, None, ["title"]), now()).first()
     assert (nulled.ai.title, nulled.ai.model) == (None, "m1")
+    steps = [patch("A", "m8", ["title", "model"]), patch("B", None, ["title"]), patch("C", "m9", ["model"])]
+    log = steps[0].withColumn("seq", F.lit(1)).union(steps[1].withColumn("seq", F.lit(2))).union(steps[2].withColumn("seq", F.lit(3)))
+    [both] = mu.patch_ai(first, log, now()).collect()
+    assert (both.ai.title, both.ai.model, both.ai.keywords) == ("B", "m9", ["k"])
+    [last] = mu.patch_ai(first, log, now(), mode="replace").collect()
+    assert (last.ai.title, last.ai.model, last.ai.keywords) == (None, "m9", [])
     with pytest.raises(ValueError):
         mu.patch_ai(article, patch("T", "m", []), now(), mode="other")
 
@@ -139,7 +145,7 @@ def test_orders(listing):
     assert run("title", "DESC") == "2134"
 
 
-def test_filters_pages_and_compat(listing):
+def test_filters_pages_and_compat(spark, listing):
     assert ids(ls.list_articles(listing, status="RAW", category_id="c1")) == "41"
     assert ids(ls.list_articles(listing, tag="t")) == "13"
     assert ids(ls.list_articles(listing, status="NOPE")) == ""
@@ -155,6 +161,16 @@ def test_filters_pages_and_compat(listing):
     page = ls.article_page(listing, status="RAW", limit=1).collect()
     assert [(r.id, r.total, r.limit, r.offset) for r in page] == [("4", 3, 1, 0)]
     assert dict(ls.count_by(listing, "status").collect()) == {"RAW": 3, "DONE": 1}
+    many = spark.range(5000).select(F.col("id").cast("string").alias("id"), F.col("id").alias("n"))
+    deep = ls.deep_page(many.repartition(7), [F.desc("n")], 30, 4000).collect()
+    assert [r.n for r in deep] == list(range(999, 969, -1))
+    assert ls.page(many, [F.col("n")], 10, 10**9).collect() == [] and ls.deep_page(many, [F.col("n")], 10, 4995).count() == 5
+    answer = ls.article_answer(listing, status="RAW", limit=2, order_field="title", direction="ASC").first()
+    rows = ls.list_articles(listing, status="RAW", limit=2, order_field="title", direction="ASC")
+    assert (answer.total, [r.id for r in answer["items"]]) == (3, list(ids(rows)))
+    past = ls.article_answer(listing, status="RAW", limit=2, offset=9).first()
+    assert (past.total, past.limit, past.offset, past["items"]) == (3, 2, 9, [])
+    assert ls.article_answer(listing, status="NOPE").first().total == 0
 
 
 def test_lookups(spark, listing):

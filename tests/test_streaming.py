@@ -1,11 +1,14 @@
 import random
 from datetime import datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from feedloom.operators import lifecycle as li
 from feedloom.operators import mutate as mu
+from feedloom.plans import queries
+from feedloom.plans.corpus import Corpus
 from feedloom.sources import queues as qu
 from feedloom.sources import store
 from feedloom.sources.store import append_batch
@@ -203,3 +206,14 @@ def test_feed_collection_commits_outputs_together_and_replays(spark, tmp_path):
     # An epoch without its commit is not shown.
     append_batch(spark.read.parquet(f"{out}/articles/batch=0"), f"{out}/articles", 9)
     assert sorted(map(str, sc.read_output(spark, out, "articles").collect())) == first["articles"]
+
+
+def test_streams_read_tables_of_one_and_of_several_files(spark, tmp_path):
+    rows = spark.createDataFrame([(n, DAY) for n in range(10)], "n long, ts timestamp_ntz")
+    pq.write_table(rows.toArrow(), tmp_path / "one.parquet")
+    rows.repartition(3).write.parquet(str(tmp_path / "several.parquet"))
+    for table in ("one", "several"):
+        stream = queries._stream(Corpus(spark, str(tmp_path)), table)
+        drained = queries._drain(Corpus(spark, str(tmp_path)), table, lambda out, state: stream.writeStream.foreachBatch(
+            lambda batch, epoch: append_batch(batch, out, epoch) and None).option("checkpointLocation", state).trigger(availableNow=True).start())
+        assert sorted(r.n for r in drained.collect()) == list(range(10))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedloom.operators import lifecycle as li
 from feedloom.operators import mutate as mu
 from feedloom.plans import queries
+from feedloom.plans.collection import collect_feeds
 from feedloom.plans.corpus import Corpus
 from feedloom.sources import queues as qu
 from feedloom.sources import store
@@ -217,3 +218,28 @@ def test_streams_read_tables_of_one_and_of_several_files(spark, tmp_path):
         drained = queries._drain(Corpus(spark, str(tmp_path)), table, lambda out, state: stream.writeStream.foreachBatch(
             lambda batch, epoch: append_batch(batch, out, epoch) and None).option("checkpointLocation", state).trigger(availableNow=True).start())
         assert sorted(r.n for r in drained.collect()) == list(range(10))
+
+
+def test_documents_of_one_source_arrive_together_in_several_files(spark, tmp_path, monkeypatch):
+    # Ranges of positions of one source, and a few documents of others; pages 1 and 1996 have the same address.
+    rows = [(k, f"Title {k}. Rest\nof it", "en", "src1", 20) for k in range(1, 4000, 13)] + [(k, f"Of {k}. Text", "en", f"src{k % 7}", 10) for k in range(2, 60, 13)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, f"https://p.example.org/{k % 1995}", "<p>x</p>") for k in (1, 14, 1996)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    events = spark.createDataFrame([(1, DAY, 27, "view", 1.0, "")], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(queries, "run_dir", lambda spark, name: str(tmp_path / name))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    kept = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        got = queries.QUERIES["feed_stream_articles"](spark, str(tmp_path)).collect()
+        c = Corpus(spark, str(tmp_path))
+        whole = collect_feeds(c.arrived_feeds, c.sources, c.crawl, c.stored, queries.as_of()).created.collect()
+    finally:
+        spark.conf.set(coalesce, kept)
+    assert len(got) > 100 and sorted((r.id, r.slug) for r in got) == sorted((r.id, r.slug) for r in whole)
+    root = str(tmp_path / "feed-stream")
+    sizes = [r.n for r in spark.read.parquet(f"{root}/feeds").groupBy(F.input_file_name(), "source_id").agg(F.count(F.lit(1)).alias("n")).filter("source_id = 'src_1'").collect()]
+    assert sum(sizes) == 8 and len(sizes) > 1
+    epochs = sc.read_output(spark, f"{root}/out", "articles").groupBy("source_id").agg(F.count_distinct("epoch").alias("n"))
+    assert epochs.filter("n > 1").count() == 0

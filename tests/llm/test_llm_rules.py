@@ -425,6 +425,22 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum((b > g) + (b == g) / 2 for b in bad for g in good) / (len(bad) * len(good)) > 0.95
 
 
+@pytest.mark.parametrize("part_bytes", [toxicity.PART_BYTES, 30_000])
+def test_toxicity_learns_from_all_labels(spark, part_bytes):
+    ids = spark.range(6000).select("id", toxicity.held_out(F.col("id")).alias("out"), F.xxhash64("id").alias("h")).collect()
+    order = [r.id for r in sorted(ids, key=lambda r: r.h) if not r.out]
+    toxic, clean, new = order[:1700], order[1700:3400], [r.id for r in ids if r.out][:100]
+    rng = random.Random(3)
+    plain = lambda: " ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(8))
+    # The last 200 toxic texts are marked by another word than the others, as are half of the new texts.
+    rows = [(i, f"{plain()} {'vile' if k < 1500 else 'zorb'} {plain()}") for k, i in enumerate(toxic)] + [(i, plain()) for i in clean]
+    rows += [(i, f"{plain()} zorb {plain()}" if k % 2 else plain()) for k, i in enumerate(new)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in toxic] + [(i, 0) for i in clean], "doc_id long, toxic int")
+    scores = {r.doc_id: r.score for r in toxicity.classify(docs, labels, part_bytes).filter("held_out").collect()}
+    assert all((scores[i] >= 0.7) == (k % 2 == 1) for k, i in enumerate(new))
+
+
 # Shards
 
 

@@ -437,7 +437,7 @@ def test_toxicity_learns_from_all_labels(spark, part_bytes):
     rows += [(i, f"{plain()} zorb {plain()}" if k % 2 else plain()) for k, i in enumerate(new)]
     docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1) for i in toxic] + [(i, 0) for i in clean], "doc_id long, toxic int")
-    scores = {r.doc_id: r.score for r in toxicity.classify(docs, labels, part_bytes).filter("held_out").collect()}
+    scores = {r.doc_id: r.score for r in toxicity.classify(docs, labels, part_bytes=part_bytes).filter("held_out").collect()}
     assert all((scores[i] >= 0.7) == (k % 2 == 1) for k, i in enumerate(new))
 
 

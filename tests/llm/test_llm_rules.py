@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from feedloom.llm import (
-    components, decontaminate, html_main, line_dedup, near_dedup, packing, quality, secrets, sharding, shingles, surrogates, toxicity,
+    common, components, decontaminate, html_main, line_dedup, near_dedup, packing, quality, secrets, sharding, shingles, surrogates, toxicity,
 )
 from feedloom.sources.store import run_dir
 
@@ -195,6 +195,35 @@ def test_benchmark_windows_of_templates_and_of_moved_parts(spark):
     assert not {4000 + i for i in own} & {d for d, _ in got}
 
 
+def test_small_tables_of_benchmark_windows_are_few_files(spark, monkeypatch, tmp_path):
+    """With many partitions that nothing gathers, tables whose rows are counted come in as many files as they
+    need, windows in none; with less rows a file the rows are the same."""
+    rng = random.Random(9)
+    items = {i: " ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for i in range(40)}
+    texts = {100 + i: f"some words before {t} and {i} after" for i, t in items.items()}
+    frame = lambda rows, name: spark.createDataFrame(list(rows.items()), f"{name} bigint, text string")
+    setting = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in setting}
+    files = []
+    try:
+        for k, v in setting.items():
+            spark.conf.set(k, v)
+        for rows in (decontaminate.ROWS_A_FILE, 100):
+            monkeypatch.setattr(decontaminate, "ROWS_A_FILE", rows)
+            monkeypatch.setattr(common, "run_dir", lambda _, name, rows=rows: f"{tmp_path.as_uri()}/{rows}/{name}")
+            out = decontaminate.contaminated(frame(texts, "doc_id"), frame(items, "item_id"))
+            got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in out.collect()}
+            assert got == brute_windows(items, texts) and len(got) >= 40
+            files.append({d.name: len(list(d.glob("part-*"))) for d in (tmp_path / str(rows)).iterdir()})
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    small = ("items", "benchmark-shingles", "held-texts", "coded-items")
+    assert [files[0][name] for name in small] == [1, 1, 1, 1]
+    assert "windows" not in files[0]
+    assert 1 < files[1]["items"] <= 11 and 1 < files[1]["benchmark-shingles"] <= 11
+
+
 def test_hamming_index_finds_the_whole_radius(spark):
     rng = random.Random(1)
     pairs = []
